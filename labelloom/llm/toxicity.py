@@ -4,7 +4,8 @@ Folding undoes disguise: compatibility forms, accents and invisible characters g
 look-alike letters of other scripts and digits or signs standing for letters
 become those letters (1, l, ! and | all count as i).  The lexicon is learned from
 labelled rows: words whose log-likelihood ratio with the label is beyond chance,
-weighted by their log odds.  Phrases of a lexicon word and a neighbour that occur in
+weighted by their log odds, unless a stronger entry stands beside them in most of
+their toxic rows.  Phrases of a lexicon word and a neighbour that occur in
 clean rows only are exceptions; a match inside one counts nothing.  Matches are
 whole words.  The score is a logistic function of the matched weight and of its
 density in the text.
@@ -118,6 +119,13 @@ def _phrases(lexicon: Lexicon, folded: str) -> set[str]:
     return out
 
 
+def _strongest(ratios: dict[str, float], folded: str) -> set[str]:
+    """Entries of a text whose ratio is at least half of the largest in it."""
+    own = ratios.keys() & set(_RUN.findall(folded))
+    top = max((ratios[w] for w in own), default=0)
+    return {w for w in own if ratios[w] >= 0.5 * top}
+
+
 def learn(rows: DataFrame) -> Lexicon:
     """Lexicon of labelled rows (text, y)."""
     size = rows.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
@@ -134,7 +142,12 @@ def learn(rows: DataFrame) -> Lexicon:
     words = _counted(rows, lambda folded: set(_RUN.findall(folded))).filter(F.length("item") > 2)
     words = words.withColumn("ratio", 2 * (term(a, F.lit(p), rate) + term(b, F.lit(q), rate))).withColumn("weight", weight)
     best = words.filter((F.col("ratio") >= LEAST_RATIO) & (F.col("weight") > 1.5)).orderBy(F.desc("ratio"), "item").limit(ENTRIES)
-    lexicon = Lexicon({r["item"]: r["weight"] for r in best.select("item", "weight").collect()})
+    found = best.select("item", "weight", "ratio", "toxic").collect()
+    ratios = {r["item"]: r["ratio"] for r in found}
+    # words that only keep company with stronger ones, as in copies of one text, explain nothing
+    near = _counted(rows, lambda folded: _strongest(ratios, folded)).filter(F.col("toxic") > 0).select("item", "toxic").collect()  # ENTRIES at most
+    alone = {r["item"]: r["toxic"] for r in near}
+    lexicon = Lexicon({r["item"]: r["weight"] for r in found if 2 * alone.get(r["item"], 0) >= r["toxic"]})
     if not lexicon.weights:
         return lexicon
     phrases = _counted(rows, lambda folded: _phrases(lexicon, folded)).filter((F.col("toxic") == 0) & (F.col("clean") >= LEAST_CLEAN)).orderBy(F.desc("clean"), "item").limit(ENTRIES)
