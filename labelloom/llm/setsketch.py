@@ -9,12 +9,13 @@ registers of two documents estimates the similarity; pairs that pass are
 confirmed on their full sets.
 
 Plan: documents of equal sets form a class, and only class representatives take
-part.  In each band bucket all members are paired with the bucket's smallest
-id, not with each other; pairs inside a component already found need no test;
-what stays apart is then compared across the components of each bucket, so that
-no link that shares a bucket is lost.  Components come from alternating large
-and small stars over written tables; nothing about documents reaches the driver
-but counts.
+part.  Each is first paired with the smallest id that shares a band bucket with
+it, not with all members, and components are formed.  Members of buckets that
+still hold several components are then paired across components, where the rare
+elements of their full sets leave the threshold possible (prefix principle), so
+that no link that shares a bucket is lost and no group is paired with itself.
+Components come from alternating large and small stars over written tables;
+nothing about documents reaches the driver but counts.
 
 Defined results: null, empty and blank texts have the empty set, are linked with
 nothing and are kept; rows sharing a ``doc_id`` are one document; an empty table
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Space, prepare
@@ -122,12 +123,16 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id and elements (the whole set) of the documents ``ids``, one row for each id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(t.as_py(), width).tobytes() for t in batch.column("text")], pa.binary())], ["id", "elements"])
+            sets = [shingles(t.as_py(), width).view(np.int64) for t in batch.column("text")]
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *sets])))], ["id", "elements"])
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    return found.mapInArrow(run, "id long, elements binary")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return found.mapInArrow(run, "id long, elements array<long>")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -148,30 +153,44 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").filter(fits).mapInArrow(run, "a long, b long")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, space: Space) -> DataFrame:
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int, space: Space) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union of the full sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = space.save(_sets(docs, ids, width))
-    one = sets.dropDuplicates(["id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            last, x = None, None
-            for i, p, q in zip(batch.column("a").to_pylist(), batch.column("set_a"), batch.column("set_b"), strict=True):
-                if i != last:
-                    last, x = i, np.frombuffer(p.as_buffer(), np.uint64)
-                y = np.frombuffer(q.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
+            x, y = batch.column("set_a"), batch.column("set_b")
+            (xv, xo), (yv, yo) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (x, y))
+            for i in range(batch.num_rows):
+                both = np.concatenate([xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]])
+                both.sort()
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep.append(100 * common >= percent * (len(both) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    a, b = one.select(F.col("id").alias("a"), F.col("elements").alias("set_a")), one.select(F.col("id").alias("b"), F.col("elements").alias("set_b"))
-    out = space.save(pairs.join(b, "b").join(a, "a").mapInArrow(run, "a long, b long"))
-    space.drop(sets)
-    return out
+    a, b = sets.select(F.col("id").alias("a"), F.col("elements").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("elements").alias("set_b"))
+    return space.save(pairs.join(b, "b").join(a, "a").mapInArrow(run, "a long, b long"))
+
+
+def _shared_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can reach the threshold, by the prefix principle.
+
+    ``members``: id, c, n.  With a set's elements in order of rarity, two sets of the
+    wanted similarity share one of the first ``n - ceil(percent% of n) + 1`` of
+    either, and the ranks of the first one they share bound what they can share.  Elements that only one component has there propose nothing.
+    """
+    own = sets.join(members, "id")
+    elements = own.select("id", "c", "n", F.explode("elements").alias("e"))
+    common = elements.groupBy("e").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    ranked = elements.join(common, "e").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "e")))
+    prefix = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("lo") != F.col("hi"))).select("e", "id", "c", "n", "r")
+    mixed = prefix.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("e")
+    prefix = prefix.join(mixed, "e")
+    x, y = (prefix.select("e", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "c", "n", "r"))) for s in "ab")
+    # if this is the first shared element, no more than what follows it can be shared
+    most = 1 + F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b"))
+    fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent) & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    return x.join(y, "e").filter((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, space: Space) -> DataFrame:
@@ -217,28 +236,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot <> last").drop("last")
     buckets = space.save(keys.join(shared, "key"))
 
-    # one pair for each document first: most groups are found so
-    stars = buckets.filter("id <> pivot")
-    first = stars.groupBy("id").agg(F.min("pivot").alias("pivot"))
-    links = _confirmed(docs, space.save(_likely(first.select(F.col("id").alias("a"), F.col("pivot").alias("b")), reps, percent)), width, percent, space)
-    found = components(links, space)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        return _labelled(_labelled(pairs, "a", found, "c_a"), "b", found, "c_b").filter("c_a <> c_b").select("a", "b").distinct()
+    sets = space.save(_sets(docs, buckets.select("id").distinct(), width))
 
-    # then the other pivots of documents that are still apart from them
-    more = apart(stars.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-    links = links.union(_confirmed(docs, space.save(_likely(more, reps, percent)), width, percent, space))
+    # one pair for each document first: most groups are found so
+    stars = buckets.filter("id <> pivot").groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    links = _confirmed(sets, space.save(_likely(stars, reps, percent)), percent, space)
     found = components(links, space)
 
-    # last, all that shares a bucket but not a component
+    # then what shares a bucket but not yet a component
     m = _labelled(buckets.select("key", "id"), "id", found, "c")
     mixed = m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    m = space.save(m.join(mixed, "key").join(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")), "id"))
-    x, y = (m.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "c", "n"))) for s in "ab")
-    fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    rest = x.join(y, "key").filter((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    tried = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = space.save(_likely(rest.join(tried, ["a", "b"], "left_anti"), reps, percent))
-    found = components(links.union(_confirmed(docs, last, width, percent, space)), space)
+    m = m.join(mixed, "key", "left_semi").select("id", "c").distinct()
+    m = space.save(m.join(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")), "id"))
+    last = space.save(_likely(_shared_prefix(m, sets, percent), reps, percent))
+    found = components(links.union(_confirmed(sets, last, percent, space)), space)
     return _labelled(member, "rep", found, "component_id").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
