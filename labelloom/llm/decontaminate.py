@@ -166,7 +166,7 @@ def _automata(spark: SparkSession, items: DataFrame, window: int) -> list:
     return out
 
 
-def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
     """The columns ``keep`` and n_words, spans (array of [start, end) word positions, merged), n_hit, items (sorted ids)."""
     prepare(spark)
     span_type, name_type = pa.list_(pa.list_(pa.int32())), pa.list_(pa.string())
@@ -200,7 +200,7 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, window
     for bc in _automata(spark, items, window):
         kept = kept.mapInArrow(passes(bc), kept.schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    return kept.drop("_text").select(*keep, "n_words", "spans", hit.alias("n_hit"), "items")
+    return kept.select(*keep, *["_text"] * with_text, "n_words", "spans", hit.alias("n_hit"), "items")
 
 
 def remove(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 10, max_share: float = 0.0) -> DataFrame:
@@ -209,8 +209,11 @@ def remove(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int =
     With 0 every document with a hit goes.  Spans of documents within the limit
     can be cut out by ``cut_spans``.
     """
-    found = contamination(spark, docs, items, window, keep=tuple(docs.columns) + (() if "text" in docs.columns else ("text",)))
-    return found.filter(F.col("n_hit") <= F.lit(max_share) * F.col("n_words")).select(*docs.columns)
+    rest = [c for c in docs.columns if c != "text"]
+    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), "text")
+    found = contamination(spark, nested, items, window, keep=("_row",), with_text=True)
+    kept = found.filter(F.col("n_hit") <= F.lit(max_share) * F.col("n_words"))
+    return kept.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def cut_spans(text: str | None, spans: list[list[int]]) -> str | None:

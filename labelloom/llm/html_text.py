@@ -257,7 +257,7 @@ def _with_truth(page: str) -> Node:
     return root
 
 
-def labelled_pages(n: int = 160, seed: int = 5) -> list[str]:
+def labelled_pages(n: int = 240, seed: int = 5) -> list[str]:
     """Invented pages with known parts."""
     r = random.Random(seed)
 
@@ -354,10 +354,11 @@ def labelled_pages(n: int = 160, seed: int = 5) -> list[str]:
             after.append(comments())
         foot = r.choice([f"&copy; example &middot; {words(2, 20)}", links(3) + words(1, 10), f"<p>{words(3, 30)}</p>"])
         after.append(f"<footer>{foot}</footer>" if r.random() < 0.7 else f'<div{attr("footer", "site-footer", "copyright", "legal")}>{foot}</div>')
-        inner = "".join(before) + main + "".join(after)
+        inner = main if r.random() < 0.1 else "".join(before) + main + "".join(after)
         if r.random() < 0.3:
             inner = f'<div{attr("wrapper", "page", "container", "site", "")}>{inner}</div>'
-        out.append(f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body>{inner}</body></html>")
+        bare = r.random() < 0.15
+        out.append(inner if bare else f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body>{inner}</body></html>")
     return out
 
 

@@ -110,8 +110,9 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     part = F.col("taken") - F.col("passes") * F.col("size")
     rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.col("passes") + F.when(2 * part >= F.col("size"), 1).otherwise(0)).otherwise(0)).filter("copies > 0")
     rows = rows.select(F.col("doc_id").alias("_id"), F.explode(F.transform(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int")), _when)).alias("_position"))
-    out = docs.join(rows, docs["doc_id"].eqNullSafe(rows["_id"]))
-    return out.orderBy("_position", "_id").select(*[docs[c] for c in docs.columns])
+    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    out = nested.join(rows, F.col("_row.doc_id").eqNullSafe(F.col("_id"))).orderBy("_position", "_id")
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""

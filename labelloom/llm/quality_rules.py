@@ -127,11 +127,26 @@ def _estimate(rows: DataFrame, scale: Column) -> DataFrame:
     return _with_factor(out.filter(F.col("n") >= MIN_ROWS // 2))
 
 
-def judged(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """The ``columns`` of ``docs`` (text among them only if ``with_text``) with the statistics, d2 (null where no estimate exists), base_failed and kept."""
+def kept_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with its columns, whatever they are called."""
+    out = _judged(spark, docs, tuple(docs.columns)).filter("kept")
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
+def judged(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``columns`` of ``docs`` with the statistics, base_failed, kept and d2 (null where no estimate exists).
+
+    A column that is called as one of these is left out.
+    """
+    own = (*STATISTICS, "base_failed", "kept", "d2")
+    out = _judged(spark, docs, tuple(c for c in columns if c not in own))
+    return out.select("_row.*", *[F.col(c) for c in own])
+
+
+def _judged(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The columns in a struct ``_row``, and what was found."""
     space = Space(spark, "rules")
-    columns = tuple(c for c in columns if with_text or c != "text")
-    named = docs.select(F.struct(*columns).alias("_row"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
     rows = space.save(_vector(statistics(named)).drop("text"))  # texts are read and split once
     good = rows.filter(~F.col("base_failed")).select("lang", "source", *_COORDS)
 
@@ -159,5 +174,4 @@ def judged(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...] = ("do
             new = _estimate(with_half.filter(F.col("d2") * CHI_HALF / F.greatest("q", F.lit(CHI_HALF)) <= 13.2767), F.lit(1.05))
         params = space.save(new)
     out = _measured(rows, params)
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CHI_CUT))
-    return out.select("_row.*", *[F.col(c).alias(c) for c in (*STATISTICS, "base_failed", "kept", "d2")])
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CHI_CUT))

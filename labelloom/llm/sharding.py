@@ -111,11 +111,15 @@ def pack(sizes: list[int], shards: int = SHARDS) -> list[int]:
 
 
 def shards(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), n_shards: int = SHARDS) -> DataFrame:
-    """``columns`` of ``docs`` and size, text_crc32, law, shard, slot, grown_shard."""
+    """``columns`` of ``docs`` and size, text_crc32, law, shard, slot, grown_shard.
+
+    A column that is called as one of these is left out.
+    """
+    columns = tuple(c for c in columns if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard"))
     space = Space(spark, "shards")
     text = F.col("text").cast("string")
     crumbs = n_shards * PIECES
-    keyed = docs.select(F.struct(*columns).alias("_row"), F.xxhash64(F.lit("slot"), F.col("doc_id")).alias("_h"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b"")).alias("_g"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.xxhash64(F.lit("slot"), F.col("doc_id")).alias("_h"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b"")).alias("_g"))
     groups = space.save(keyed.groupBy("_g").agg(F.sum("size").alias("s"), F.count("*").alias("n")))
     total = groups.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     threshold = max(1, -(-(total["s"] or 0) // crumbs))
