@@ -123,7 +123,10 @@ def _roman(s: str) -> int:
 
 
 def hits(text: str, chosen: list[Pattern]) -> list[tuple[tuple[int, int, int], Pattern, re.Match]]:
-    """Best match of each pattern (least white space in separators, then leftmost), highest rank first."""
+    """Best match of each pattern (least white space in separators, then leftmost), highest rank first.
+
+    Rank: precision, a month that is no word, characters in the fields.
+    """
     out = []
     for p in chosen:
         best = None
@@ -135,7 +138,8 @@ def hits(text: str, chosen: list[Pattern]) -> list[tuple[tuple[int, int, int], P
                     break
         if best:
             m = best[1]
-            out.append(((p.precision, int(p.month_form != "literal" or p.precision < 1), len(m["all"])), p, m))
+            size = sum(len(m[f]) for f in p.fields)
+            out.append(((p.precision, int(p.month_form != "literal" or p.precision < 1), size), p, m))
     out.sort(key=lambda h: h[0], reverse=True)
     return out
 
@@ -182,12 +186,12 @@ def date(year: Column, month: Column, day: Column, century_known: Column) -> Col
 def iso(d: Column) -> Column:
     """Year-month-day without padding; an unknown century gives -yy."""
     year = F.when(d["century_known"], d["year"].cast("string")).otherwise(F.concat(F.lit("-"), d["year"].cast("string")))
-    return F.concat_ws("-", year, d["month"].cast("string"), d["day"].cast("string"))
+    return F.when(d["year"].isNotNull(), F.concat_ws("-", year, d["month"].cast("string"), d["day"].cast("string")))
 
 
 def iso_range(r: Column) -> Column:
     a, b = iso(r["start"]), iso(r["end"])
-    return F.when(a == b, a).otherwise(F.concat_ws("/", a, b))
+    return F.when(a == b, a).when(a.isNotNull(), F.concat_ws("/", a, b))
 
 
 def century(d: Column) -> Column:

@@ -6,6 +6,7 @@ import functools
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,8 +47,6 @@ def strip_accents(s: Column) -> Column:
 
 def strip_accents_exact(s: Column) -> Column:
     """The same for every character, in Arrow batches of Python."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def exact(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else "".join(c for c in unicodedata.normalize("NFKD", v) if unicodedata.category(c) != "Mn"))
