@@ -122,13 +122,20 @@ def _roman(s: str) -> int:
     return total
 
 
-def hits(text: str, chosen: list[Pattern]) -> list[tuple[tuple[int, int, int], Pattern, re.Match]]:
-    """Best match of each pattern (least white space in separators, then leftmost), highest rank first.
+def _ranks(chosen: tuple[Pattern, ...]) -> list[list[Pattern]]:
+    """Patterns by precision and kind of month, highest rank first; each group in order of the catalogue."""
+    groups: dict[tuple[int, int], list[Pattern]] = {}
+    for p in chosen:
+        groups.setdefault((p.precision, int(p.month_form != "literal" or p.precision < 1)), []).append(p)
+    return [groups[k] for k in sorted(groups, reverse=True)]
 
-    Rank: precision, a month that is no word, characters in the fields.
-    """
+
+def hits(text: str, chosen: list[Pattern]) -> list[tuple[int, Pattern, re.Match]]:
+    """Best match of each pattern of one rank (least white space in separators, then leftmost), most characters in the fields first."""
     out = []
     for p in chosen:
+        if p.is_range and "-" not in text:
+            continue
         best = None
         for m in p.regex.finditer(text):
             spaces = sum(c.isspace() for c in m["all"])
@@ -137,40 +144,42 @@ def hits(text: str, chosen: list[Pattern]) -> list[tuple[tuple[int, int, int], P
                 if not spaces:
                     break
         if best:
-            m = best[1]
-            size = sum(len(m[f]) for f in p.fields)
-            out.append(((p.precision, int(p.month_form != "literal" or p.precision < 1), size), p, m))
+            out.append((sum(len(best[1][f]) for f in p.fields), p, best[1]))
     out.sort(key=lambda h: h[0], reverse=True)
     return out
 
 
-def find(text: str | None, chosen: list[Pattern] | None = None) -> tuple | None:
+_ALL_RANKS = _ranks(catalogue())
+
+
+def find(text: str | None, ranks: list[list[Pattern]] | None = None) -> tuple | None:
     """(start, end, span start, span end, verbatim) of the first valid hit."""
     if not text or not re.search(r"[0-9]{2}", text):
         return None
-    for _, p, m in hits(text, list(catalogue()) if chosen is None else chosen):
-        g = m.groupdict()
-        y1, m1, d1 = g["Y1"], g.get("M1"), g.get("D1")
-        first = _date(y1, m1, d1, p.month_form)
-        last = _date(g.get("Y2") or y1, g.get("M2") or m1, g.get("D2") or d1, p.month_form)
-        if first and last:
-            # a range runs forward
-            swap = first[4] == last[4] and tuple(-1 if v is None else v for v in first[:3]) > tuple(-1 if v is None else v for v in last[:3])
-            a, b = (last, first) if swap else (first, last)
-            return (a, b, m.start(), m.start() + len(m["all"]), m["all"])
+    for group in _ALL_RANKS if ranks is None else ranks:
+        for _, p, m in hits(text, group):
+            g = m.groupdict()
+            y1, m1, d1 = g["Y1"], g.get("M1"), g.get("D1")
+            first = _date(y1, m1, d1, p.month_form)
+            last = _date(g.get("Y2") or y1, g.get("M2") or m1, g.get("D2") or d1, p.month_form)
+            if first and last:
+                # a range runs forward
+                swap = first[4] == last[4] and tuple(-1 if v is None else v for v in first[:3]) > tuple(-1 if v is None else v for v in last[:3])
+                a, b = (last, first) if swap else (first, last)
+                return (a, b, m.start(), m.start() + len(m["all"]), m["all"])
     return None
 
 
 def find_date(text: Column, **tags) -> Column:
     """The best date of a text as ``FOUND_TYPE`` (null if none), in Arrow batches."""
-    fields = list(patterns(**tags)) if tags else None
+    ranks = _ranks(tuple(patterns(**tags))) if tags else None
     names = ["year", "month", "day", "precision", "century_known"]
 
     @F.pandas_udf(FOUND_TYPE)
     def found(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            f = find(t, fields)
+            f = find(t, ranks)
             rows.append({"start": dict(zip(names, f[0], strict=True)), "end": dict(zip(names, f[1], strict=True)), "span_start": f[2], "span_end": f[3], "verbatim": f[4]} if f else {"start": None, "end": None, "span_start": None, "span_end": None, "verbatim": None})
         return pd.DataFrame(rows, columns=["start", "end", "span_start", "span_end", "verbatim"]).astype({"span_start": "Int32", "span_end": "Int32"})
 

@@ -35,21 +35,25 @@ def token_pairs(queries: DataFrame, vocabulary: DataFrame, strategy: str = "auto
     queries = queries.withColumn("k", allowance(F.col("q")))
     exact = queries.filter("k = 0").join(vocabulary.withColumnRenamed("token", "q"), "q").select("q", F.col("q").alias("token"), F.lit(1.0).alias("identity"))
     loose = queries.filter("k > 0")
+    few = False
     if strategy == "auto":
         n = loose.count()
+        few = n <= BROADCAST_TOKENS
         strategy = "broadcast" if n <= BROADCAST_TOKENS and n * vocabulary.count() <= PAIR_LIMIT else "blocked"
     if strategy == "broadcast":
         near = vocabulary.join(F.broadcast(loose), (F.abs(F.length("q") - F.length("token")) <= F.col("k")) & (F.levenshtein("q", "token") <= F.col("k")))
         return exact.union(_verified(near))
-    return exact.union(_verified(_blocked(loose, vocabulary).distinct()))
+    return exact.union(_verified(_blocked(loose, vocabulary, few).distinct()))
 
 
-def _blocked(loose: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def _blocked(loose: DataFrame, vocabulary: DataFrame, few: bool) -> DataFrame:
+    """Candidates that share a piece; pieces of ``few`` query tokens are broadcast (five each at most, for tokens under 64 characters)."""
+
     def begin(length: Column, k: Column, i: Column) -> Column:
         return F.floor(length * i / (k + 1)).cast("int")
 
     def key(length: Column, i: Column, piece: Column) -> Column:
-        return F.struct(length.cast("int").alias("len"), i.cast("int").alias("i"), piece.alias("piece"))
+        return F.xxhash64(length.cast("int"), i.cast("int"), piece)
 
     n = F.length("q")
     own = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: key(n, i, F.substring("q", begin(n, F.col("k"), i) + 1, begin(n, F.col("k"), i + 1) - begin(n, F.col("k"), i))))
@@ -60,7 +64,7 @@ def _blocked(loose: DataFrame, vocabulary: DataFrame) -> DataFrame:
     k = F.col("k")
     pieces = F.flatten(F.transform(F.sequence(F.lit(0), k), lambda i: F.transform(F.sequence(F.greatest(begin(F.col("len"), k, i) - k, F.lit(0)), F.least(begin(F.col("len"), k, i) + k, m)), lambda s: key(F.col("len"), i, F.substring("token", s + 1, begin(F.col("len"), k, i + 1) - begin(F.col("len"), k, i))))))
     right = target.select("token", F.explode(F.array_distinct(pieces)).alias("key"))
-    return left.join(right, "key").select("q", "token", "k")
+    return right.join(F.broadcast(left) if few else left, "key").select("q", "token", "k")
 
 
 def query_tokens(queries: DataFrame, min_len: int) -> DataFrame:
