@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import held_out, prepare, share
 
 BITS, TRAIN_DOCS, EPOCHS, CHUNK = 16, 120, 24, 256
+#: Training ids that may be broadcast.
+SMALL = 100_000
 #: Words of a training passage, and of the lexicon: least count and least share of one language.
 PASSAGE, LEXICON_COUNT, LEXICON_SHARE = 40, 5, 0.95
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -250,6 +252,8 @@ def fit(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     salted = known.withColumn("h", F.xxhash64(F.lit("lang"), "doc_id")).withColumn("salt", F.pmod("h", F.lit(64)))
     best = salted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).filter(F.col("r") <= per_language)
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= per_language).select("doc_id")
+    if best.count() <= SMALL:  # a few hundred ids a language: texts need no shuffle then
+        best = F.broadcast(best)
     rows = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).join(best, "doc_id", "left_semi").toArrow()
     table = sorted(r for r in zip(*[rows.column(c).to_pylist() for c in ("doc_id", "text", "lang")], strict=True) if r[1] is not None and r[2] is not None)
     return train([t for _, t, _ in table], [x for _, _, x in table])
