@@ -42,3 +42,11 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_rows_and_nulls(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "en", "a", 0), (1, text, "en", "a", 0), (2, text + " more", None, None, None), (None, text[::-1], "en", "a", 0), (4, None, "en", "a", None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted((r.doc_id or -1) for r in got.collect()) == [-1, 1, 4] and got.columns == docs.columns
