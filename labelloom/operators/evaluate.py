@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.storage import numbered
+
 
 def best_match(matches: DataFrame) -> DataFrame:
     """label_id, event_id, score: the highest score; of equal ones the last by ``pos`` (or by event)."""
@@ -55,6 +57,6 @@ def cluster_statistics(rows: DataFrame, mode: str = "intended") -> DataFrame:
 def group_by_key(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` (with pos) and group_id: rank, from 0, of the key's first appearance."""
     first = rows.groupBy(*keys).agg(F.min("pos").alias("_first"))
-    ranked = first.withColumn("group_id", F.row_number().over(Window.orderBy("_first")) - 1)
+    ranked = numbered(first, "_first", "group_id")
     out = rows.alias("r").join(ranked.alias("k"), [F.col(f"r.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys])
     return out.select("r.*", "k.group_id")

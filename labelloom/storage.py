@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def reliable(df: DataFrame) -> DataFrame:
@@ -21,3 +22,13 @@ def reliable(df: DataFrame) -> DataFrame:
         atexit.register(shutil.rmtree, own, True)
         context.setCheckpointDir("file://" + own)
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with gapless numbers from 0 in ``order``: a range sort, places inside each partition, and partition offsets."""
+    rows = reliable(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))  # a row for each partition
+    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    out = rows.withColumn("_p", part).join(offsets, "_p")
+    return out.withColumn(name, F.col("_o") + F.col("_at") - F.shiftleft("_p", 33)).drop("_p", "_o", "_at")
