@@ -94,7 +94,7 @@ def _when(copy: Column) -> Column:
 
 def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The contract's columns and the position of the first copy, range-sorted by position."""
-    rows = plan(spark, docs).withColumn("position", _when(F.lit(0)))
+    rows = plan(spark, docs).withColumn("position", F.round(_when(F.lit(0)), 9))
     rows = rows.orderBy(F.asc_nulls_last("position"), "key")
     return rows.select("doc_id", "size", "source_size", "target", "taken", "position")
 
@@ -128,6 +128,6 @@ c AS (SELECT d.*, t.source_size, t.target, (weight - 2) / 2.0 AS slope, CAST(rou
    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes FROM c),
 q AS (SELECT *, CAST(passes * size + greatest(0, least(size, words - passes * source_size - start)) AS BIGINT) AS taken, start / target AS u FROM p)
-SELECT doc_id, size, source_size, target, taken, CAST(CASE WHEN taken > 0 AND target > 0 THEN CASE WHEN u <= 0 THEN 0.0 ELSE 2 * u / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * u)) END END AS DOUBLE) AS position
+SELECT doc_id, size, source_size, target, taken, round(CAST(CASE WHEN taken > 0 AND target > 0 THEN CASE WHEN u <= 0 THEN 0.0 ELSE 2 * u / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * u)) END END AS DOUBLE), 9) AS position
 FROM q
 """
