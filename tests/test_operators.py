@@ -188,6 +188,19 @@ def test_consensus(spark):
     assert one_null(C.median_distances(m))
 
 
+def test_consensus_equals_local_form(spark, monkeypatch):
+    texts = {"g": ["abcd", "abxd", "abcd", "bcd", None, ""], "h": ["ab", "ba"], "i": ["Wald 3", "Walde 3", "Wald  3.", "Wald 3", "ald 3"] * 3, "j": ["solo"]}
+    rows = [(g, f"{g}{n}", n, t) for g, lines in texts.items() for n, t in enumerate(lines)]
+    m = spark.createDataFrame(rows, "group_id string, ID string, pos long, text string")
+    want = {g: C.aligned_consensus([t or "" for t in lines]) for g, lines in texts.items() if len(lines) > 1}
+    assert {r.group_id: r.consensus for r in C.alignment_consensus(m).collect()} == want
+    monkeypatch.setattr(C, "PART_TEXTS", 2)  # groups in several parts
+    for r in C.median_distances(m.filter("group_id in ('h', 'i') and text is not null"), simplified=False).collect():
+        d = C.distances(texts[r.group_id])[r.pos]
+        others = [x for i, x in enumerate(d) if i != r.pos]
+        assert abs(r.median - sorted(others)[len(others) // 2]) < 1e-9 if len(others) % 2 else abs(r.median - sum(sorted(others)[len(others) // 2 - 1 : len(others) // 2 + 1]) / 2) < 1e-9
+
+
 def one_null(df):
     return [r.ID for r in df.filter("median is null").collect()] == ["4"]
 
