@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -85,7 +87,12 @@ class Lexicon:
                 covered.append((a, b))
             if w in self.weights:
                 found.append((a, b, w))
-        return [m for m in found if not any(a <= m[0] and m[1] <= b for a, b in covered)]
+        if not covered:
+            return found
+        covered.sort()
+        starts, furthest = [a for a, _ in covered], list(accumulate((b for _, b in covered), max))
+        # inside a phrase: one that starts no later reaches as far
+        return [m for m in found if not (i := bisect_right(starts, m[0])) or furthest[i - 1] < m[1]]
 
     def measure(self, text: str | None) -> tuple[float, float]:
         """Matched weight, and that weight per hundred words, on log scales."""
