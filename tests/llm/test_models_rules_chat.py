@@ -63,8 +63,8 @@ def test_folding_and_exceptions():
     hits = [m[2] for m in lex.matches(toxicity.fold("A L0ser, a sore loser, MORON!! losers"))]
     assert hits == [toxicity.fold("loser"), "moron"]
     # many phrases in a long text, overlapping ones included
-    lex = toxicity.Lexicon({"bad": 1.0, "news": 1.0}, {"bad news", "news bad", "so bad news"})
-    assert [m[:2] for m in lex.matches("so bad news bad x bad news " * 20_000 + "x bad")] == [(540_002, 540_005)]
+    phrases = toxicity.Lexicon({"bad": 1.0, "news": 1.0}, {"bad news", "news bad", "so bad news"})
+    assert [m[:2] for m in phrases.matches("so bad news bad x bad news " * 20_000 + "x bad")] == [(540_002, 540_005)]
     assert lex.measure(None) == (0.0, 0.0)
     assert lex.measure("moron")[1] > lex.measure("moron and many more words here")[1]
 
