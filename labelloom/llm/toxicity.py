@@ -3,8 +3,8 @@
 Folding undoes disguise: compatibility forms, accents and invisible characters go,
 look-alike letters of other scripts and digits or signs standing for letters
 become those letters (1, l, ! and | all count as i).  The lexicon is learned from
-labelled rows: words whose log-likelihood ratio with the label is beyond chance,
-weighted by their log odds, unless a stronger entry stands beside them in most of
+labelled rows: words whose log-likelihood ratio with the label is beyond chance for
+the number of words tested, weighted by their log odds, unless a stronger entry stands beside them in most of
 their toxic rows.  Phrases of a lexicon word and a neighbour that occur in
 clean rows only are exceptions; a match inside one counts nothing.  Matches are
 whole words.  The score is a logistic function of the matched weight and of its
@@ -21,6 +21,7 @@ the base score.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from bisect import bisect_right
@@ -33,12 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, prepare
+from .common import Space, held_out, prepare
 from .quality_model import labelled
 
 TRAIN_ROWS, ENTRIES = 20_000, 4096
-#: Least log-likelihood ratio of an entry, and least clean rows of an exception.
-LEAST_RATIO, LEAST_CLEAN = 30.0, 3
+#: Share of chance finds among the entries at most, and least clean rows of an exception.
+CHANCE, LEAST_CLEAN = 0.05, 3
+#: Cuts tried for the log-likelihood ratio: multiples of 1 / STEPS below TOP.
+STEPS, TOP = 4, 60
+LEAST_WEIGHT = 1.5
 
 # Look-alikes by the Latin letter they resemble.
 _LOOK_ALIKE = {"a": "аα4@", "b": "ьβ8", "c": "сϲ", "d": "ԁ", "e": "еєε3", "g": "ԍ9", "h": "һн", "i": "іїιl1!|", "j": "ј", "k": "кκ", "m": "мᴍ", "n": "пη", "o": "оο0σ", "p": "рρ", "q": "ԛ", "s": "ѕ5$", "t": "тτ7", "u": "υ", "v": "ѵν", "w": "ԝω", "x": "хχ", "y": "уү", "z": "ʐ"}
@@ -133,6 +137,25 @@ def _strongest(ratios: dict[str, float], folded: str) -> set[str]:
     return {w for w in own if ratios[w] >= 0.5 * top}
 
 
+def least_ratio(words: DataFrame) -> float | None:
+    """Smallest cut of ``ratio`` with at most ``CHANCE`` of the words above it there by chance; None if no cut will do.
+
+    ``words`` (ratio, weight, top), ``top`` being the ratio if all rows of the word were
+    toxic: words too rare to reach a cut are not tested by it.
+    """
+
+    def step(c: str):
+        return F.floor(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(float(TOP))) * STEPS)
+
+    kinds = words.groupBy(step("top").alias("top"), F.when(F.col("weight") > LEAST_WEIGHT, step("ratio")).alias("ratio")).count().collect()  # a row for each pair of steps at most
+    for cut in range(1, STEPS * TOP + 1):
+        tested = sum(r["count"] for r in kinds if r["top"] >= cut)
+        taken = sum(r["count"] for r in kinds if r["ratio"] is not None and r["ratio"] >= cut)
+        if taken and tested * math.erfc(math.sqrt(cut / STEPS / 2)) <= CHANCE * taken:
+            return cut / STEPS
+    return None
+
+
 def learn(rows: DataFrame) -> Lexicon:
     """Lexicon of labelled rows (text, y)."""
     size = rows.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
@@ -148,7 +171,12 @@ def learn(rows: DataFrame) -> Lexicon:
     weight = F.log((a + 0.5) / (p + 1)) - F.log((b + 0.5) / (q + 1))
     words = _counted(rows, lambda folded: set(_RUN.findall(folded))).filter(F.length("item") > 2)
     words = words.withColumn("ratio", 2 * (term(a, F.lit(p), rate) + term(b, F.lit(q), rate))).withColumn("weight", weight)
-    best = words.filter((F.col("ratio") >= LEAST_RATIO) & (F.col("weight") > 1.5)).orderBy(F.desc("ratio"), "item").limit(ENTRIES)
+    most = F.least(a + b, F.lit(p))
+    words = Space(rows.sparkSession, "words").save(words.withColumn("top", 2 * (term(most, F.lit(p), rate) + term(a + b - most, F.lit(q), rate))))
+    cut = least_ratio(words)
+    if cut is None:
+        return Lexicon({})
+    best = words.filter((F.col("ratio") >= cut) & (F.col("weight") > LEAST_WEIGHT)).orderBy(F.desc("ratio"), "item").limit(ENTRIES)
     found = best.select("item", "weight", "ratio", "toxic").collect()
     ratios = {r["item"]: r["ratio"] for r in found}
     # words that only keep company with stronger ones, as in copies of one text, explain nothing

@@ -69,6 +69,18 @@ def test_folding_and_exceptions():
     assert lex.measure("moron")[1] > lex.measure("moron and many more words here")[1]
 
 
+def test_toxic_words_of_a_small_language_are_learned(spark):
+    r = random.Random(5)
+    common = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
+    # a tenth is toxic; the small language has five toxic training rows
+    rows = [(" ".join([*r.sample(common, 20), *((["cabron"] if i < 50 else ["moron"]) if i % 10 == 0 else [])]), int(i % 10 == 0)) for i in range(1000)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "text string, y int"))
+    assert set(lexicon.weights) == {toxicity.fold("moron"), toxicity.fold("cabron")}
+    assert lexicon.measure("eres un cabrón")[0] > 0 and lexicon.measure(" ".join(common)) == (0.0, 0.0)
+    # words by chance alone make no lexicon
+    assert not toxicity.learn(spark.createDataFrame([(" ".join(r.sample(common, 20)), int(i % 10 == 0)) for i in range(1000)], "text string, y int")).weights
+
+
 def test_ftrl_learns_and_stays_sparse():
     r = random.Random(1)
     words = vocabulary(r)
