@@ -46,6 +46,10 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.formatted(spark, table(spark, sf_dir, "conversations"))
 
 
+def op9_every_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.every_turn(spark, table(spark, sf_dir, "conversations"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(spark, table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def _ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
-QUERIES = {f.__name__: _ready(f) for f in (op1_quality_classifier, op2_html_extraction, op3_language_id, op4_mixing, op5_toxicity, op6_near_dedup, op7_sharding, op8_decontamination, op9_chat_formatting, op10_quality_rules, pipeline)}
+QUERIES = {f.__name__: _ready(f) for f in (op1_quality_classifier, op2_html_extraction, op3_language_id, op4_mixing, op5_toxicity, op6_near_dedup, op7_sharding, op8_decontamination, op9_chat_formatting, op9_every_turn, op10_quality_rules, pipeline)}
 
 NEAR_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, string_split_regex(trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') AS w FROM documents),

@@ -114,11 +114,35 @@ def conversation_calls(talk: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def formatted(spark: SparkSession, talk: DataFrame, tools: dict | None = None) -> DataFrame:
-    """The linked calls of plain conversations."""
+    """The linked calls of plain conversations; rows of other roles and further rows of a turn are left to ``every_turn``."""
     calls, results = conversation_calls(talk.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()))
     return linked(spark, calls, results, tools or REPLY)
 
 
+def every_turn(spark: SparkSession, talk: DataFrame, tools: dict | None = None) -> DataFrame:
+    """The rows of ``formatted`` and each row of the table that they leave out.
+
+    ``kind`` is call or result for the former; a result linked to a call is part of the
+    call's row.  The others, which are further rows of a turn, other roles, and rows
+    without conversation or turn, each have an identifier of their own, their role as
+    kind, no level, and the JSON of their content.
+    """
+    rows = formatted(spark, talk, tools).withColumn("kind", F.when(F.col("name").isNull(), "result").otherwise("call"))
+    talk = talk.select(F.col("conv_id").cast("string").alias("conv"), F.col("turn").cast("long").alias("place"), "role", F.col("text").cast("string").alias("content"))
+    alike = talk.groupBy("conv", "place", "role", "content").agg(F.count("*").alias("n"))
+    # the text that linked() takes of a turn: the smallest arguments, the smallest content
+    spoken = alike.filter(F.col("conv").isNotNull() & F.col("place").isNotNull() & F.col("role").isin("user", "assistant"))
+    order = F.when(F.col("role") == "user", json_text(F.col("content"))).otherwise(F.col("content"))
+    taken = spoken.groupBy("conv", "place", "role").agg(F.min(F.struct(order.alias("o"), "content")).alias("t")).select("conv", "place", "role", F.col("t.content").alias("_text"), F.lit(True).alias("_taken"))
+    found = alike.join(taken, ["conv", "place", "role"], "left")
+    left = F.col("n") - F.when(F.col("_taken") & F.col("content").eqNullSafe(F.col("_text")), 1).otherwise(0)
+    rest = found.withColumn("n", left).filter("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    rest = rest.withColumn("id", F.concat_ws("-", "conv", "place", F.sha1(F.to_json(F.struct("conv", "place", "role", "content"))), "copy"))
+    whole = F.concat(F.lit('{"content":'), json_text(F.col("content")), F.lit(',"id":'), json_text(F.col("id")), F.lit(',"role":'), json_text(F.col("role")), F.lit("}"))
+    rest = rest.select("id", "place", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("level"), F.lit(False).alias("linked"), F.lit(False).alias("valid"), F.lit("").alias("problems"), whole.alias("json"), F.coalesce("role", F.lit("none")).alias("kind"))
+    return rows.unionByName(rest)
+
+
 ORACLE_SQL = """
 WITH u AS (SELECT CAST(conv_id AS VARCHAR) AS conv, turn AS place, min(text) AS text, min(text) IS NULL AS void FROM conversations WHERE role = 'user' GROUP BY ALL),
 o AS (SELECT conv, min(place) AS first FROM u GROUP BY conv),

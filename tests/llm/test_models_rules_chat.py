@@ -267,3 +267,17 @@ def test_conversations_edge_cases(spark):
     assert not got["1-0"].valid and got["1-0"].linked and got["3-4"].level == 1
     assert json.loads(got["3-2"].json)["arguments"]["prompt"] == 'q"\\'
     assert tool_calls.formatted(spark, talk.limit(0)).count() == 0
+
+
+def test_every_turn_carries_every_row(spark, tables):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "b"), (1, 1, "user", "a"), (1, 1, "user", "a"), (1, 1, "user", None), (1, 2, "assistant", "x"), (1, 2, "assistant", "y"), (1, 3, "tool", "{}"), (1, 3, None, None), (None, 1, "user", "lost"), (2, None, "system", ""), (2, None, "system", "")]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = tool_calls.every_turn(spark, talk).collect()
+    assert len({r.id for r in got}) == len(got)
+    texts = [(r.kind, json.loads(r.json)) for r in got]
+    assert sorted((k, str(x["content"])) for k, x in texts if k not in ("call", "result")) == sorted([("system", "be kind"), ("user", "b"), ("user", "a"), ("user", "None"), ("assistant", "y"), ("tool", "{}"), ("none", "None"), ("user", "lost"), ("system", ""), ("system", "")])
+    assert [(x["arguments"], x["result"]) for k, x in texts if k == "call"] == [({"prompt": "a"}, "x")]
+    # a linked row stands for two rows of the table, all others for one
+    whole = tool_calls.every_turn(spark, tables["conversations"]).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("linked").cast("int")).alias("m")).collect()
+    assert sum(r.n + r.m for r in whole) == tables["conversations"].count()
+    assert {r.kind: r.n for r in whole}["system"] == tables["conversations"].filter("role = 'system'").count()
