@@ -271,8 +271,8 @@ def search_threshold(spark, sf):
 _MATCH_SQL = _search_sql(_index_sql(1, "benchmark", "item_id"), _DOC_QUERIES, False)
 
 
-def _matches(spark, sf):
-    return M.match_events(labels(spark, sf), make_index(items(spark, sf).select("ID", "text"), Options(1, 3)), fuzzy=False)
+def _matches(spark, sf, fuzzy=False):
+    return M.match_events(labels(spark, sf), make_index(items(spark, sf).select("ID", "text"), Options(1, 3)), fuzzy=fuzzy)
 
 
 @query(_MATCH_SQL + "SELECT query_id AS label_id, ID AS event_id, round(score, 6) AS score FROM hits")
@@ -359,14 +359,14 @@ def date_century_shift(spark, sf):
     return f.select("ID", D.set_century(F.col("f.start"), F.lit(18))["year"].alias("year"), D.iso(F.col("f.start")).alias("iso"))
 
 
-def _dated_match(spark, sf, persist):
+def _dated_match(spark, sf, persist, fuzzy=False):
     """Customers' latest orders (labels) against their parts of the year's calendar: events are nations' yearly lists."""
     o = dated(spark, sf)
     lab = o.groupBy("cust").agg(F.max_by("text", "ID").alias("text"), F.max("ID").alias("k")).select(F.col("cust").alias("ID"), "text")
     years = _read(spark, sf, "orders").select(F.year("o_orderdate").alias("y"), F.lower("o_orderpriority").alias("p")).distinct()
     ev = years.select(F.concat_ws("/", "y", "p").alias("ID"), F.col("y").cast("string").alias("date"), F.concat_ws(" ", F.lit("priority"), "p").alias("text"))
     index = make_index(ev.select("ID", "text"), Options(1, 3))
-    return _rounded(M.match_events(lab, index, M.date_index(ev), persist=persist, fuzzy=False), "score")
+    return _rounded(M.match_events(lab, index, M.date_index(ev), persist=persist, fuzzy=fuzzy), "score")
 
 
 _EVENTS_SQL = "ev AS (SELECT DISTINCT year(o_orderdate) || '/' || lower(o_orderpriority) AS eid, year(o_orderdate) AS y, 'priority ' || lower(o_orderpriority) AS text FROM orders)"
@@ -390,12 +390,12 @@ _BEST_SQL = _MATCH_SQL + ", top AS (SELECT query_id AS label_id, max_by(ID, (rou
 _JOINED_SQL = _BEST_SQL + ", j AS (SELECT doc_id AS label_id, source AS group_id, coalesce(CAST(event_id AS VARCHAR), 'unassigned') AS event_id, coalesce(score, 0.0) AS score FROM documents LEFT JOIN top ON doc_id = label_id)"
 
 
-def _best(spark, sf):
-    return E.best_match(_rounded(_matches(spark, sf), "score"))
+def _best(spark, sf, fuzzy=False):
+    return E.best_match(_rounded(_matches(spark, sf, fuzzy), "score"))
 
 
-def _assigned(spark, sf):
-    best = _best(spark, sf).withColumn("event_id", F.col("event_id").cast("string"))
+def _assigned(spark, sf, fuzzy=False):
+    best = _best(spark, sf, fuzzy).withColumn("event_id", F.col("event_id").cast("string"))
     return E.assigned(labels(spark, sf).select(F.col("ID").alias("label_id"), F.col("source").alias("group_id")), best)
 
 
@@ -517,3 +517,18 @@ def parse_info(spark, sf):
 def stream_match(spark, sf):
     """The stream's micro-batch function, over the table as one batch."""
     return _rounded(M.match_events(labels(spark, sf), make_index(items(spark, sf).select("ID", "text"), Options(1, 3)), fuzzy=False), "score")
+
+
+# --- matching as the operator does it: tokens within an edit distance; no SQL ---
+QUERIES |= {
+    "match_all_hits_fuzzy": lambda spark, sf: _rounded(_matches(spark, sf, True), "score"),
+    "match_unmatched_labels_fuzzy": lambda spark, sf: M.unmatched(labels(spark, sf), _matches(spark, sf, True), "label_id"),
+    "match_unmatched_events_fuzzy": lambda spark, sf: M.unmatched(items(spark, sf), _matches(spark, sf, True), "event_id"),
+    "match_date_filtered_fuzzy": lambda spark, sf: _dated_match(spark, sf, False, True),
+    "match_persist_fuzzy": lambda spark, sf: _dated_match(spark, sf, True, True),
+    "best_match_fuzzy": lambda spark, sf: _best(spark, sf, True),
+    "left_join_unassigned_fuzzy": lambda spark, sf: _assigned(spark, sf, True),
+    "group_confidence_fuzzy": lambda spark, sf: _rounded(E.group_confidence(_assigned(spark, sf, True)), "confidence"),
+    "cluster_stats_fuzzy": lambda spark, sf: _rounded(E.cluster_statistics(_assigned(spark, sf, True)), "mean", "sd"),
+    "stream_match_fuzzy": lambda spark, sf: _rounded(_matches(spark, sf, True), "score"),
+}
