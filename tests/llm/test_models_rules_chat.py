@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy, rules, HTML and chat formatting by brute force, and edge cases."""
 
 import json
+import math
 import random
 import re
 
@@ -164,35 +165,117 @@ def test_rules_reject_outliers_and_keep_clean(spark):
     assert all(got[i].kept == bool(i % 8) for i in got)
 
 
-def brute_distance(x):
-    """Concentration steps with exact medians, for one group."""
-    ridge = np.diag(np.square(quality_rules.RIDGE))
-    m = np.median(x, axis=0)
-    cov = np.diag((1.4826 * np.median(np.abs(x - m), axis=0)) ** 2) + ridge
+def chi_cdf(x, dim):
+    """Chi-square distribution for odd degrees of freedom, in closed form."""
+    out, term = math.erf(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    for k in range(1, dim - 1, 2):
+        out -= term
+        term *= x / (k + 2)
+    return out
+
+
+def chi_inverse(share, dim):
+    low, high = 0.0, 100.0
+    while high - low > 1e-12:
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_cdf(mid, dim) < share else (low, mid)
+    return high
+
+
+def brute_mcd(x, ridge, starts=150, seed=3):
+    """Squared distances by random subsets and concentration steps, with constants of its own."""
+    n, p = x.shape
+    r = np.random.default_rng(seed)
+    half = chi_inverse(0.5, p)
+    scale = 0.5 / chi_cdf(half, p + 2)
 
     def d2(m, cov):
-        z = x - m
-        return np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z)
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
+
+    best = None
+    for _ in range(starts):
+        part = x[r.choice(n, p + 1, replace=False)]
+        last = math.inf
+        while True:
+            m, cov = part.mean(axis=0), scale * np.cov(part.T, bias=True) + ridge
+            d = d2(m, cov)
+            det = np.linalg.slogdet(cov)[1]
+            if len(part) > p + 1 and last - det <= 1e-3:
+                break
+            last = det if len(part) > p + 1 else math.inf
+            part = x[d <= np.sort(d)[(n + 1) // 2 - 1]]
+        if best is None or det < best[0]:
+            best = (det, d)
+    det, d = best
+    cut = chi_inverse(0.975, p)
+    part = x[d * half / max(np.sort(d)[(n + 1) // 2 - 1], half) <= cut]
+    return det, d2(part.mean(axis=0), 0.975 / chi_cdf(cut, p + 2) * np.cov(part.T, bias=True) + ridge)
+
+
+def vectors(got, texts):
+    n = np.array([g.n_words for g in got], float)
+    chars, symbols, repeats, dup = (np.array([g[c] for g in got], float) for c in ("word_chars", "n_symbols", "n_repeat_words", "n_dup_lines"))
+    lines = np.array([sum(bool(x.strip()) for x in texts[g.doc_id].split("\n")) for g in got], float)
+    return np.stack([np.log1p(n), np.log(chars / n), np.log1p(100 * symbols / chars), np.log1p(100 * repeats / n), np.log1p(100 * dup / (lines + 6))], axis=1)
 
-    for step in range(quality_rules.STEPS + 1):
-        d = d2(m, cov)
-        q = np.sort(d)[int(np.ceil(len(d) / 2)) - 1]
-        last = step == quality_rules.STEPS
-        part = x[d * quality_rules.CHI_HALF / max(q, quality_rules.CHI_HALF) <= 13.2767] if last else x[d <= q]
-        m, cov = part.mean(axis=0), np.cov(part.T, bias=True) * (1.05 if last else 1 / 0.3016) + ridge
-    return d2(m, cov)
+
+def test_chi_square_constants():
+    assert abs(quality_rules.chi_quantile(0.5, 5) - chi_inverse(0.5, 5)) < 1e-8 and abs(quality_rules.chi_share(9.0, 7) - chi_cdf(9.0, 7)) < 1e-12
+    z = np.random.default_rng(1).normal(size=(400_000, 5))
+    d = (z**2).sum(axis=1)
+    # the covariance of the central half, times the factor, is that of the whole
+    assert abs(z[d <= np.median(d)].var() * quality_rules.FACTOR_HALF - 1) < 0.01
+    assert abs(z[d <= np.quantile(d, 0.975)].var() * quality_rules.FACTOR_REWEIGHT - 1) < 0.01
 
 
 def test_distances_equal_brute_force(spark):
     r = random.Random(12)
     words = vocabulary(r)
-    rows = [(i, " ".join(r.choice(words) + r.choice(["", "", "", "#"]) for _ in range(r.randint(25, 200))), "en", "a", 0) for i in range(201)]
+    texts = []
+    for i in range(201):
+        bad = i % 5 == 0  # a fifth is of another kind: the plain moments alone would follow it
+        lines = [" ".join(r.choice(words) + (r.choice(["#", "*&", "%"]) if bad else r.choice(["", "", "", "#"])) for _ in range(r.randint(3, 12))) for _ in range(r.randint(5, 14))]
+        texts.append("\n".join(lines + lines[:3] * bad))
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
     got = sorted(quality_rules.judged(spark, spark.createDataFrame(rows, SCHEMA)).collect())
-    n = np.array([g.n_words for g in got], float)
-    chars, symbols, repeats = (np.array([g[c] for g in got], float) for c in ("word_chars", "n_symbols", "n_repeat_words"))
-    x = np.stack([np.log1p(n), np.log(chars / n), np.log1p(100 * symbols / chars), np.log1p(100 * repeats / n)], axis=1)
-    assert not any(g.base_failed for g in got)
-    assert np.allclose([g.d2 for g in got], brute_distance(x), rtol=0.05, atol=0.05)
+    good = [g for g in got if not g.base_failed]
+    assert len(good) > 150 and all((g.d2 is None) == g.base_failed for g in got)
+    _, want = brute_mcd(vectors(good, texts), np.diag(np.square([0.8, 0.15, 0.3, 1.0, 0.6])))
+    found = np.array([g.d2 for g in good])
+    assert np.corrcoef(found, want)[0, 1] > 0.99 and np.median(np.abs(found - want) / (want + 1)) < 0.1
+    assert all(g.kept == (g.d2 <= chi_inverse(0.99999, 5)) for g in good)
+
+
+def test_small_groups_are_held_against_larger_ones(spark):
+    r = random.Random(13)
+    words = vocabulary(r)
+
+    def text(mark=""):
+        return " ".join(r.choice(words) + mark for _ in range(r.randint(30, 120)))
+
+    # one source of its own size, five rows a source in the same language, single rows of other languages
+    rows = [(i, text(), "en", "big", 0) for i in range(60)] + [(100 + i, text("***" if i == 7 else ""), "en", f"s{i // 5}", 0) for i in range(20)] + [(200 + i, text("***" if i == 3 else ""), f"l{i}", None, 0) for i in range(6)]
+    got = {x.doc_id: x for x in quality_rules.judged(spark, spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(x.d2 is not None for x in got.values())
+    assert {i for i, x in got.items() if not x.kept} == {107, 203}
+    # fewer rows than any group needs: the whole table's estimate
+    few = quality_rules.judged(spark, spark.createDataFrame(rows[:3], SCHEMA)).collect()
+    assert len(few) == 3 and all(x.d2 is not None and x.kept for x in few)
+
+
+def test_rules_repeated_lines_and_long_texts(spark):
+    r = random.Random(14)
+    words = vocabulary(r)
+
+    def lines(n, width):
+        return [" ".join(r.choice(words) for _ in range(width)) for _ in range(n)]
+
+    rows = [(i, "\n".join(lines(20, 10)), "en", "a", 0) for i in range(80)]
+    page = [x for pair in zip(lines(40, 5), ["read more here"] * 40, strict=True) for x in pair]
+    rows += [(100, "\n".join(page), "en", "a", 0), (101, "\n".join(lines(40_000, 5)), "en", "a", 0)]
+    got = {x.doc_id: x for x in quality_rules.judged(spark, spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not got[100].base_failed and not got[100].kept and got[100].n_dup_lines == 39
+    assert got[101].n_words == 200_000 and all(got[i].kept for i in range(80))
 
 
 def test_rules_edge_cases(spark):
