@@ -12,9 +12,17 @@ the data, so the training set is made here, from page layouts with known parts
 (``labelled_pages``): articles in several mark-ups, with menus, headers, footers,
 sidebars, notices, adverts, forms and comments around and inside them.
 
+Parsing takes time in proportion to the page, however deep or broken: open elements
+are counted, and each node knows the nearest open element of the kinds that a start
+tag may close.
+
 Defined results: null and empty pages give an empty text; broken mark-up is read
 as far as it goes (unclosed elements end with their parent, stray end tags are
-ignored); pages are whole, without limits; repeated rows are answered each.
+ignored, ``/>`` ends any element at once, an unclosed script or style runs to the end of the
+page as browsers read it, any other unclosed raw element is empty, a tag without its
+end is no text); null ``url`` or ``page_id`` stay null; other columns are
+ignored, whatever they are called; pages are whole, without limits; repeated rows are
+answered each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,35 +41,67 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""",
+    # quotes count only after "="; possessive, so that no tag is read twice
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""",
     re.S,
 )
-_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\Z""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe xmp noframes template svg math select object".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+#: Elements whose inside is no mark-up; that of xmp is text all the same.
+_RAW = frozenset("script style title textarea iframe xmp noframes".split())
+_CODE = frozenset("script style".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var math mi mn mo ms mtext mrow mfrac msqrt msub msup svg object".split())
 _SECTION = frozenset("html body main article section div header footer nav aside form table ul ol dl".split())
-#: A start tag closes an open element of these, up to the named borders.
-_CLOSES = {t: (frozenset(c.split()), frozenset(b.split())) for t, c, b in [("li", "li", "ul ol menu"), ("dt", "dt dd", "dl"), ("dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td", "td th", "tr table"), ("th", "td th", "tr table"), ("option", "option", "select")]}
-_P_BORDER = frozenset("td th table button object caption html body".split())
+#: Start tags that end an open paragraph.
+_ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p pre search section summary table ul xmp".split())
+#: Kinds of elements that a start tag may end, and the borders up to which it does so.
+_SCOPES = [("p", "td th table button object caption html body"), ("li", "ul ol menu"), ("dt dd", "dl"), ("td th", "tr table"), ("tr", "table"), ("option", "select")]
+_ENDS = {t: i for i, (tags, _) in enumerate(_SCOPES) if i for t in tags.split()}
+_NEAR: dict[str, list[tuple[int, bool]]] = {}
+for _i, (_tags, _borders) in enumerate(_SCOPES):
+    for _t in (*_tags.split(), *_borders.split()):
+        _NEAR.setdefault(_t, []).append((_i, _t in _tags.split()))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "words", "text", "children", "size", "linked", "features", "index", "truth")
+    """An element or a text.  ``near``: for each of ``_SCOPES`` the nearest open element, this one included; ``block``: the nearest element that is not inline."""
+
+    __slots__ = ("tag", "parent", "words", "text", "children", "size", "linked", "features", "index", "truth", "near", "block")
 
     def __init__(self, tag: str, parent: Node | None, words: tuple[str, ...] = (), text: str = ""):
         self.tag, self.parent, self.words, self.text = tag, parent, words, text
         self.children: list[Node] = []
+        self.near: tuple[Node | None, ...] = (None,) * len(_SCOPES) if parent is None else parent.near
+        self.block = self if parent is None or (tag[0] != "#" and tag not in _INLINE) else parent.block
+        if tag in _NEAR:
+            near = list(self.near)
+            for i, own in _NEAR[tag]:
+                near[i] = self if own else None
+            self.near = tuple(near)
         if parent is not None:
             parent.children.append(self)
 
 
+@functools.cache
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?:[\s/][^>]*)?>", re.I)
+
+
 def parse(page: str) -> Node:
     """Tree of elements and texts ("#text"); a "#break" stands for a line break."""
-    root = Node("#root", None)
-    at, here = 0, root
+    root = here = Node("#root", None)
+    opened: dict[str, int] = {}
+    unclosed: set[str] = set()  # raw elements without any further end tag
     pos, n = 0, len(page)
+
+    def close(x: Node) -> None:
+        nonlocal here
+        while here is not x.parent:
+            opened[here.tag] -= 1
+            here = here.parent
+
     while pos < n:
         m = _TAG.search(page, pos)
         end = m.start() if m else n
@@ -70,46 +110,50 @@ def parse(page: str) -> Node:
         if not m:
             break
         pos = m.end()
-        name = m[2] or m[5]
+        name = m[2]
         if not name:
             if m[0].startswith("<![CDATA["):
                 Node("#text", here, text=m[0][9:].removesuffix("]]>"))
             continue
-        name = name.lower()
-        if m[1] or m[4]:
-            x = here
-            while x is not root and x.tag != name:
-                x = x.parent
-            if x is not root:
-                here = x.parent
+        if page[pos - 1] != ">":  # the page ends inside the tag
+            break
+        name, rest = name.lower(), m[3]
+        if m[1]:
+            if opened.get(name):
+                x = here
+                while x.tag != name:
+                    x = x.parent
+                close(x)
             elif name == "p":
                 Node("#break", here)
             continue
-        rest = m[3] or m[6] or ""
         if name == "br" or name == "hr":
             Node("#break", here)
+        for scope in (0 if name in _ENDS_P else None, _ENDS.get(name)):
+            if scope is not None and here.near[scope] is not None:
+                close(here.near[scope])
         if name in _VOID:
             continue
-        if name not in _INLINE and name not in _RAW:
-            close, border = _CLOSES.get(name, (frozenset(), frozenset()))
-            for tags, stop in ((frozenset(["p"]), _P_BORDER), (close, border)):
-                x = here
-                while x is not root and x.tag not in stop:
-                    if x.tag in tags:
-                        here = x.parent
-                        break
-                    x = x.parent
         words: tuple[str, ...] = ()
         if "=" in rest:
             found = [v.strip("\"'") for k, v in _ATTR.findall(rest) if k.lower() in ("class", "id", "role", "aria-label", "itemprop")]
             words = tuple(dict.fromkeys(w.lower() for v in found for w in _WORD.findall(v)))
+        if name in _RAW:  # no node: what has no text says nothing about its surroundings
+            if _SELF_CLOSED.search(rest):
+                continue
+            tail = None if name in unclosed else _end_of(name).search(page, pos)
+            if name == "xmp" and tail:
+                Node("#text", Node(name, here, words), text=page[pos : tail.start()])
+            if tail or name in _CODE:
+                pos = tail.end() if tail else n
+            else:
+                unclosed.add(name)
+            continue
         node = Node(name, here, words)
-        if name in _RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
-            pos = close.end() if close else n
-        elif not rest.endswith("/"):
-            here = node
-    del at
+        if _SELF_CLOSED.search(rest):
+            continue
+        here = node
+        opened[name] = opened.get(name, 0) + 1
     return root
 
 
@@ -295,6 +339,8 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[str]:
             return f"<blockquote><p>{words(5, 30)}</p></blockquote>"
         if kind_of < 0.95:
             return f"<pre>{words(3, 20)}</pre>"
+        if kind_of < 0.96:
+            return f"<p>{words(2, 12)} {r.choice([f'<math><mi>{words(1, 1)}</mi><mo>=</mo><mn>3</mn></math>', '<svg viewBox=0/>', f'<svg><text>{words(1, 2)}</text></svg>', f'<object data=x><span>{words(1, 4)}</span></object>'])} {words(1, 12)}</p>"
         if kind_of < 0.975:
             return "<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{words(1, 5)}</td></tr>" for _ in range(3)) + "</table>"
         return f"<figure><img src='a.png'><figcaption>{words(3, 10)}</figcaption></figure>"
@@ -303,7 +349,7 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[str]:
         return f'<div{attr("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner")}>{r.choice([words(2, 40), links(2, "p"), f"<p>{words(3, 40)}</p>"])}</div>'
 
     def form() -> str:
-        return f'<form{attr("", "search", "login", "newsletter", "subscribe", "signup")}><label>{words(1, 4)}</label><input name="q"><p>{words(1, 12)}</p><button>{words(1, 2)}</button></form>'
+        return f'<form{attr("", "search", "login", "newsletter", "subscribe", "signup")}><label>{words(1, 4)}</label><input name="q">{r.choice(["", "", f"<select><option>{words(1, 2)}<option>{words(1, 2)}</select>"])}<p>{words(1, 12)}</p><button>{words(1, 2)}</button></form>'
 
     def comments() -> str:
         tag = r.choice(["div", "section", "ol"])
@@ -325,6 +371,8 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[str]:
     out = []
     for _ in range(n):
         body = "".join(paragraph() for _ in range(r.randint(1, 9)))
+        if r.random() < 0.15:  # a short one
+            body = "".join(f"<p>{words(2, 7)}</p>" for _ in range(r.randint(1, 3)))
         if r.random() < 0.7:
             body = f"<h1>{words(1, 10)}</h1>" + body
         for part in (advert, form, share, aside, comments, notice):
@@ -352,9 +400,11 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[str]:
                 (before if r.random() < 0.5 else after).append(part())
         if r.random() < 0.3:
             after.append(comments())
+        if r.random() < 0.1:
+            (before if r.random() < 0.5 else after).append(r.choice([f"<noscript><p>{words(2, 15)}</p></noscript>", f"<template><p>{words(2, 15)}</p></template>"]))
         foot = r.choice([f"&copy; example &middot; {words(2, 20)}", links(3) + words(1, 10), f"<p>{words(3, 30)}</p>"])
         after.append(f"<footer>{foot}</footer>" if r.random() < 0.7 else f'<div{attr("footer", "site-footer", "copyright", "legal")}>{foot}</div>')
-        inner = main if r.random() < 0.1 else "".join(before) + main + "".join(after)
+        inner = main if r.random() < 0.15 else "".join(before) + main + "".join(after)
         if r.random() < 0.3:
             inner = f'<div{attr("wrapper", "page", "container", "site", "")}>{inner}</div>'
         bare = r.random() < 0.15
@@ -382,9 +432,7 @@ def main_text(model: Model, page: str | None) -> str:
             last = None
         if x.tag != "#text":
             continue
-        b = x.parent  # nearest element that is not inline
-        while b.parent is not None and b.tag in _INLINE:
-            b = b.parent
+        b = x.block
         if b is not last:
             blocks.append([])
             last = b

@@ -331,6 +331,48 @@ def test_html_edge_cases(spark):
     assert "one two three" in got[6]
 
 
+def test_html_keeps_text_around_odd_tags():
+    model = html_text.default_model()
+
+    def text(inside):
+        return html_text.main_text(model, f"<article><p>One two three four five.</p>{inside}<p>Four five six seven.</p></article>")
+
+    assert text("<svg/>") == text("<iframe/>") == text("<title>") == text("<textarea class=x>") == "One two three four five. Four five six seven."
+    assert text("<p title=it's>it is one more of these</p>").endswith("it is one more of these Four five six seven.")
+    assert "Four" in text("<p title=it's>it</p><p>it's three and more words</p>") and "it's three" in text("<p title=it's>it</p><p>it's three and more words</p>")
+    for tag in ("svg", "math", "object", "xmp"):
+        assert "some words of the text inside" in text(f"<p>before it <{tag}>some words of the text inside</{tag}> and after it.</p>")
+    assert text("<script>var x = '<p>no</p>';</script ><style>p{}</style>") == text("")
+    assert text("<a href=/>") == text("")
+    assert html_text.main_text(model, "<article><p>One two three four.</p><p>five <script>var x = 1") == "One two three four. five"
+    assert html_text.main_text(model, "<article><p>One two three four.</p><p class=") == "One two three four."
+    # a row or cell ends the open one, inside its own table only
+    root = html_text.parse("<table><tr><td>a<table><tr><td>b</table><td>c<tr><td>d</table>")
+    rows = [x for x in html_text.flatten(root) if x.tag == "tr"]
+    assert [x.parent.tag for x in rows] == ["table"] * 3 and [len([c for c in x.children if c.tag == "td"]) for x in rows] == [2, 1, 1]
+
+
+def test_html_reads_broken_pages_in_linear_time():
+    import time
+
+    def took(page):
+        began = time.process_time()
+        html_text.parse(page)
+        return time.process_time() - began
+
+    for piece in ("<div>", "<div></p>", "<p><b>", "<title>", "<li>", "<a t=\">\"", "<a x=\"", "<!", "<b>x", "<svg>", "</x>", "<tr><td>"):
+        small, large = (min(took(piece * n) for _ in range(2)) for n in (5_000, 50_000))
+        assert large < 30 * small + 0.3, (piece, small, large)
+    deep = "<article><p>one two three</p>" + "<div>" * 50_000 + "<p>four five six"
+    assert [x.text for x in html_text.flatten(html_text.parse(deep)) if x.tag == "#text"] == ["one two three", "four five six"]
+    assert isinstance(html_text.main_text(html_text.default_model(), deep), str)
+
+
+def test_html_empty_table(spark):
+    got = html_text.extracted(spark, spark.createDataFrame([], "page_id long, url string, html string"))
+    assert got.count() == 0 and got.columns == ["page_id", "url", "text", "n_chars"]
+
+
 def test_tool_calls(spark):
     tools = {"add": {"required": {"a": "integer", "b": "integer"}, "optional": {"note": "string"}}}
     calls = [("c1", 1, "add", '{"b": 2, "a": 1}', []), ("c2", 2, "add", '{"a": 1}', ["c1"]), ("c3", 3, "add", '{"a": "x", "b": 1, "z": 0}', ["c2", "c1", "none"]), ("c4", 4, "other", "{}", ["c5"]), ("c5", 5, "add", "broken", ["c4"]), ("c1", 9, "add", "{}", []), (None, 1, "add", "{}", [])]
