@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ def prepare(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _REPO not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_REPO, *paths])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:  # read when a plan runs, so it stays
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, single machine) a temporary folder
-    is made, and removed when the process ends.
+    Only where the session names none and master and executors are one machine (tests) a
+    temporary folder is made, and removed when the process ends.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + (own := tempfile.mkdtemp(prefix="labelloom-"))
         atexit.register(shutil.rmtree, own, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -50,9 +54,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Space:
     """Tables of one run in the shared folder; they cut lineage and outlive executors."""
 
+    #: All that were made in this process, in order.
+    made: ClassVar[list[Space]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        Space.made.append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -64,10 +72,16 @@ class Space:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._labelloom_path)
+        self._delete(*[df._labelloom_path for df in frames])
+
+    def clear(self) -> None:
+        """Delete all tables of this run."""
+        self._delete(self.root)
+
+    def _delete(self, *paths: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
 
 

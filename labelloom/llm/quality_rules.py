@@ -243,6 +243,7 @@ def _judged(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...]) -> D
     # reweighting: all rows within the quantile, after a median distance above its chi-square value is scaled to it
     near = _halves(members, best).filter(F.col("d2") * CHI_HALF / F.greatest("q", F.lit(CHI_HALF)) <= CHI_REWEIGHT)
     final = space.save(_estimate(near, FACTOR_REWEIGHT).drop("start", "ld"))
+    space.drop(members, middle)
     out = _distance(rows.join(groups.select("g", "key"), "g", "left").join(final, "key", "left"))
     out = out.withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= CHI_CUT))

@@ -10,16 +10,23 @@ confirmed on their full sets.
 
 Plan: documents of equal sets form a class, and only class representatives take
 part.  Each is first paired with the smallest id that shares a band bucket with
-it, not with all members, and components are formed.  Members of buckets that
+it, not with all members, and components are formed.  For that, sets are dealt by
+pivot, those of a large group over several tasks, and the pivot's set passes once a
+task, so each member's set moves once.  Members of buckets that
 still hold several components are then paired across components, where the rare
 elements of their full sets leave the threshold possible (prefix principle), so
 that no link that shares a bucket is lost and no group is paired with itself.
+Keys that hold more than 1/``SHARES`` of a table's rows (there are at most ``SHARES``
+such keys, whatever the table) are joined by a broadcast and their pairs are dealt
+in blocks, so no key is one task.
 Components come from alternating large and small stars over written tables;
 nothing about documents reaches the driver but counts.
 
 Defined results: null, empty and blank texts have the empty set, are linked with
-nothing and are kept; rows sharing a ``doc_id`` are one document; an empty table
-gives an empty result; other columns are ignored.
+nothing and are kept; rows sharing a ``doc_id`` are one document, whose set, if their
+texts differ, is the one with the smallest fingerprint; a row without ``doc_id`` goes to
+the class of its equals, else it is kept; very long texts are read whole; an empty
+table gives an empty result; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -37,6 +44,8 @@ from .common import Space, prepare
 #: Parameters of the sketch (base, rate, largest value) after the SetSketch paper.
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 BANDS, ROWS = 32, 5
+#: Members of a pivot, and rows of a key, that one task compares; keys above 1/SHARES of all rows are joined apart.
+BLOCK, SHARES = 1000, 4096
 #: A pair goes on to the exact test if its estimate is at most so many standard errors below the threshold.
 SLACK = 5.0
 
@@ -106,6 +115,11 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def fingerprint(s: np.ndarray) -> bytes | None:
+    """128 bits of a set; None for the empty one."""
+    return np.array([s.sum(dtype=np.uint64), mix(s * _MIX).sum(dtype=np.uint64)]).tobytes() if len(s) else None
+
+
 def sketch(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, fp (128 bits of the set), regs (registers, 16 bits each)."""
 
@@ -115,24 +129,48 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
             for text in batch.column("text"):
                 s = shingles(text.as_py(), width)
                 n.append(len(s))
-                fps.append(np.array([s.sum(dtype=np.uint64), mix(s * _MIX).sum(dtype=np.uint64)]).tobytes() if len(s) else None)
+                fps.append(fingerprint(s))
                 regs.append(registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "fp", "regs"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, fp binary, regs binary")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id and elements (the whole set) of the documents ``ids``, one row for each id."""
+def _sets(docs: DataFrame, wanted: DataFrame, width: int, repeated: bool) -> DataFrame:
+    """``wanted`` (id, fp and more) and elements, the whole set: one row for each id.
+
+    Of the rows of an id those with the fingerprint count; if ids are ``repeated``, one of them.
+    """
+    schema = f"{', '.join(f'{n} {t}' for n, t in wanted.dtypes if n != 'fp')}, elements array<long>"
+    rest = [c for c in wanted.columns if c != "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), width).view(np.int64) for t in batch.column("text")]
+            sets = [shingles(t.as_py(), width) for t in batch.column("text")]
+            keep = [fingerprint(s) == fp for s, fp in zip(sets, batch.column("fp").to_pylist(), strict=True)]
+            sets = [s.view(np.int64) for s, k in zip(sets, keep, strict=True) if k]
+            batch = batch.filter(pa.array(keep, pa.bool_()))
             ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *sets])))], ["id", "elements"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *sets])))], [*rest, "elements"])
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return found.mapInArrow(run, "id long, elements array<long>")
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(wanted, "id").mapInArrow(run, schema)
+    return found.dropDuplicates(["id"]) if repeated else found
+
+
+def _joined(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` (with ``id``) and the columns of ``table`` (one row a ``key``, with the number of rows that have it).
+
+    Keys with more than ``total / SHARES`` rows are few whatever the tables' sizes; they are
+    broadcast, and their rows stay where they are.
+    """
+    cut = max(BLOCK, total // SHARES)
+    hot, rest = table.filter(F.col(count) > cut), table.filter(F.col(count) <= cut)
+    names = [c for c in table.columns if c != key]
+    out = rows.join(F.broadcast(hot.select(key, *[F.col(c).alias(f"_h_{c}") for c in names])), key, "left")
+    out = out.withColumn("_k", F.when(F.col(f"_h_{count}").isNull(), F.col(key)).otherwise(F.xxhash64("id", key)))
+    out = out.join(rest.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_c_{c}") for c in names]), "_k", "left")
+    found = out.select(*[F.col(c) for c in rows.columns], *[F.when(F.col(f"_h_{count}").isNotNull(), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in names])
+    return found.filter(F.col(count).isNotNull())
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -153,44 +191,78 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").filter(fits).mapInArrow(run, "a long, b long")
 
 
-def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int, space: Space) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union of the full sets."""
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sets of distinct elements."""
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that reach the similarity on their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
             x, y = batch.column("set_a"), batch.column("set_b")
             (xv, xo), (yv, yo) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (x, y))
-            for i in range(batch.num_rows):
-                both = np.concatenate([xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
+            keep = [_alike(xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]], percent) for i in range(batch.num_rows)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     a, b = sets.select(F.col("id").alias("a"), F.col("elements").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("elements").alias("set_b"))
-    return space.save(pairs.join(b, "b").join(a, "a").mapInArrow(run, "a long, b long"))
+    return pairs.join(b, "b").join(a, "a").mapInArrow(run, "a long, b long")
+
+
+def _confirmed_stars(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members and their pivots that reach the similarity on their full sets.
 
+    ``sets``: id, pivot (null without one), parts (tasks over which the pivot's members
+    are dealt), own_parts (the same for the id itself, null if it is no pivot), elements.
+    """
 
-def _shared_prefix(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, own = None, None
+        for batch in batches:
+            c = batch.column("elements")
+            values, ends = c.values.to_numpy(), c.offsets.to_numpy()
+            a, b = [], []
+            for i, (key, flag, x) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("key", "flag", "id")), strict=True)):
+                elements = values[ends[i] : ends[i + 1]]
+                if flag == 0:
+                    pivot, own = key, elements.copy()
+                elif key == pivot and _alike(own, elements, percent):
+                    a.append(x)
+                    b.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    members = sets.filter("pivot is not null").select(F.col("pivot").alias("key"), F.pmod(F.xxhash64("id"), "parts").alias("part"), F.lit(1).alias("flag"), "id", "elements")
+    pivots = sets.filter("own_parts is not null").select(F.col("id").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_parts") - 1)).alias("part"), F.lit(0).alias("flag"), "id", "elements")
+    return members.union(pivots).repartition("key", "part").sortWithinPartitions("key", "part", "flag").mapInArrow(run, "a long, b long")
+
+
+def _shared_prefix(members: DataFrame, sets: DataFrame, percent: int, space: Space) -> DataFrame:
     """Pairs (a, b) of different components that can reach the threshold, by the prefix principle.
 
-    ``members``: id, c, n.  With a set's elements in order of rarity, two sets of the
+    ``members``: id, c, n.  Elements are ordered: first those that only one component has,
+    which propose nothing, then the others by rarity.  In any such order two sets of the
     wanted similarity share one of the first ``n - ceil(percent% of n) + 1`` of
-    either, and the ranks of the first one they share bound what they can share.  Elements that only one component has there propose nothing.
+    either, and the ranks of the first one they share bound what they can share.
     """
-    own = sets.join(members, "id")
-    elements = own.select("id", "c", "n", F.explode("elements").alias("e"))
-    common = elements.groupBy("e").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    ranked = elements.join(common, "e").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "e")))
-    prefix = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("lo") != F.col("hi"))).select("e", "id", "c", "n", "r")
-    mixed = prefix.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("e")
-    prefix = prefix.join(mixed, "e")
-    x, y = (prefix.select("e", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "c", "n", "r"))) for s in "ab")
+    elements = sets.select("id", "elements").join(members.select("id", "c"), "id").select("id", "c", F.explode("elements").alias("e"))
+    total = members.agg(F.sum("n").alias("n")).first()["n"] or 0
+    common = space.save(elements.groupBy("e").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("e", "df"))
+    shared = _joined(elements.select("id", "e"), common, "e", "df", total)
+    own = Window.partitionBy("id")
+    ranked = shared.withColumn("r", F.row_number().over(own.orderBy("df", "e"))).withColumn("k", F.count("*").over(own)).join(members, "id").withColumn("r", F.col("n") - F.col("k") + F.col("r"))
+    prefix = space.save(ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("e", "id", "c", "n", "r"))
+    mixed = space.save(prefix.groupBy("e").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("e", "k"))
+    prefix = _joined(prefix, mixed, "e", "k", prefix.count()).withColumn("parts", F.ceil(F.col("k") / BLOCK))
+    x = prefix.select("e", F.pmod(F.xxhash64("id"), "parts").alias("part"), *(F.col(c).alias(f"{c}_a") for c in ("id", "c", "n", "r")))
+    y = prefix.select("e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_b") for c in ("id", "c", "n", "r")))
     # if this is the first shared element, no more than what follows it can be shared
     most = 1 + F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b"))
     fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent) & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
-    return x.join(y, "e").filter((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return x.join(y, ["e", "part"]).filter((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, space: Space) -> DataFrame:
@@ -227,27 +299,37 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     classes = sketches.filter("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     member = space.save(sketches.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
     chosen = member.filter("n_shingles > 0").select(F.col("rep").alias("doc_id")).distinct()
-    reps = space.save(sketches.filter("n_shingles > 0").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id", "n_shingles"]))
+    named = sketches.filter("n_shingles > 0").join(chosen, "doc_id", "left_semi").groupBy("doc_id")
+    reps = space.save(named.agg(F.min_by(F.struct("fp", "n_shingles", "regs"), "fp").alias("s"), F.count("*").alias("rows")).select("doc_id", "s.*", "rows"))
     space.drop(sketches)
+    repeated = not reps.filter("rows > 1").isEmpty()
 
     # buckets: (band, its registers) -> members
     size = ROWS * 2
     keys = reps.select(F.col("doc_id").alias("id"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * size + 1, F.lit(size))))).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot <> last").drop("last")
-    buckets = space.save(keys.join(shared, "key"))
-
-    sets = space.save(_sets(docs, buckets.select("id").distinct(), width))
+    shared = space.save(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("k")).filter("k > 1"))
+    buckets = space.save(_joined(keys, shared, "key", "k", reps.count() * BANDS).select("id", "key", "pivot"))
 
     # one pair for each document first: most groups are found so
-    stars = buckets.filter("id <> pivot").groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-    links = _confirmed(sets, space.save(_likely(stars, reps, percent)), percent, space)
+    ids = buckets.groupBy("id").agg(F.min(F.when(F.col("id") != F.col("pivot"), F.col("pivot"))).alias("pivot"))
+    ids = space.save(ids)
+    stars = space.save(_likely(ids.filter("pivot is not null").select(F.col("id").alias("a"), F.col("pivot").alias("b")), reps, percent))
+    parts = stars.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    wanted = ids.select("id").join(stars.join(parts, "b").select(F.col("a").alias("id"), F.col("b").alias("pivot"), "parts"), "id", "left")
+    wanted = wanted.join(parts.select(F.col("b").alias("id"), F.col("parts").alias("own_parts")), "id", "left").join(reps.select(F.col("doc_id").alias("id"), "fp"), "id")
+    sets = space.save(_sets(docs, wanted, width, repeated))
+    links = space.save(_confirmed_stars(sets, percent))
     found = components(links, space)
 
     # then what shares a bucket but not yet a component
-    m = _labelled(buckets.select("key", "id"), "id", found, "c")
-    mixed = m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    m = m.join(mixed, "key", "left_semi").select("id", "c").distinct()
-    m = space.save(m.join(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")), "id"))
-    last = space.save(_likely(_shared_prefix(m, sets, percent), reps, percent))
-    found = components(links.union(_confirmed(sets, last, percent, space)), space)
+    m = space.save(_labelled(buckets.select("key", "id"), "id", found, "c"))
+    mixed = space.save(m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("key", "k"))
+    open_ids = _joined(m, mixed, "key", "k", m.count()).select("id", "c").distinct()
+    open_ids = space.save(open_ids.join(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")), "id"))
+    space.drop(m, buckets, shared, mixed, ids, stars)
+    last = space.save(_likely(_shared_prefix(open_ids, sets, percent, space), reps, percent))
+    more = space.save(_confirmed(sets, last, percent))
+    space.drop(sets, last, open_ids)
+    found = components(links.union(more), space)
+    space.drop(links, more, reps)
     return _labelled(member, "rep", found, "component_id").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

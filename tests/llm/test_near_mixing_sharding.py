@@ -83,6 +83,25 @@ def test_group_of_near_copies_is_linked_across_buckets(spark):
     assert got == {k: v[1] for k, v in brute_components(rows, 2).items()}
 
 
+def test_components_with_blocks_and_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "BLOCK", 3)  # many parts, and many keys above the cut
+    monkeypatch.setattr(setsketch, "SHARES", 50)
+    rows = rows_of(corpus(4))
+    got = setsketch.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), 2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 2)
+
+
+def test_one_id_with_several_texts_is_defined(spark):
+    r = random.Random(31)
+    words = vocabulary(r)
+    texts = [" ".join(r.choice(words) for _ in range(80)) for _ in range(6)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[0]), (2, texts[0] + " x"), (3, texts[1] + " x"), (4, texts[2]), (4, texts[2]), (5, texts[2] + " y"), (6, " ".join(r.choice(words) for _ in range(30_000)))]
+    rows = [(i, t, "en", "a", 0) for i, t in rows]
+    got = [sorted(map(tuple, setsketch.near_duplicates(spark, spark.createDataFrame(rows[::k], SCHEMA).repartition(3), 2).collect())) for k in (1, -1)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    assert {x[2] for x in got[0] if x[0] in (4, 5)} == {4} and [x[3] for x in got[0] if x[0] == 6] == [True]
+
+
 def test_sketch_properties():
     r = np.random.default_rng(3)
     a, b = r.integers(0, 2**63, 3000).astype(np.uint64), r.integers(0, 2**63, 1000).astype(np.uint64)
