@@ -158,13 +158,37 @@ def test_positions_invert_the_integral():
     def demand(t, slope):
         return t + slope * (t * t - t)
 
-    for slope in mixing.SLOPES:
+    for slope in (*mixing.SLOPES, -0.9, 0.9):
         for share in (0.1, 0.5, 0.9, 1.0):
             rest = 1 - slope
             t = 2 * share / (rest + (rest * rest + 4 * slope * share) ** 0.5)
             assert abs(demand(t, slope) - share) < 1e-12
 
 
+def test_mix_reads_the_same_share_at_every_time(spark):
+    r = random.Random(14)
+    docs = spark.createDataFrame([(i, " ".join("w" for _ in range(r.randint(20, 40))), "en", "abc"[i % 3], 0) for i in range(3000)], SCHEMA)
+    total = sum(x.taken for x in mixing.mixed(spark, docs).collect())
+    targets = {}
+    for x in mixing.plan(spark, docs).select("source", "target", "slope").distinct().collect():
+        targets[x.source] = (x.target, x.slope)
+    assert abs(sum(t * s for t, s in targets.values())) < 1e-3 * total and len({s for _, s in targets.values()}) == 3
+    order = [x.source for x in mixing.mix(spark, docs).collect()]
+    half = len(order) // 2  # a rising source is read later
+    assert order[:half].count("a") > order[half:].count("a") and order[:half].count("c") < order[half:].count("c")
+
+
+def test_mix_with_repeated_and_missing_ids(spark):
+    rows = [(None, f"text number {i} " + "w " * 30, "en", "a", 0) for i in range(40)] + [(7, "the same words here " * 5, "en", "a", 0)] * 5 + [(8, f"b {i} " * 9, "en", "b", 0) for i in range(20)] + [(9, "long " * 50_000, "en", "b", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    copies = {}
+    for x in mixing.mix(spark, docs).collect():
+        copies[x.text] = copies.get(x.text, 0) + 1
+    assert all(n <= 3 for t, n in copies.items() if not t.startswith("the same")) and copies["the same words here " * 5] <= 15
+    four = spark.createDataFrame([(None, f"t{i} words", "en", "a", 0) for i in range(4)], SCHEMA)
+    assert mixing.mix(spark, four).count() == 4
+
+
 def test_mixing_edge_cases(spark):
     docs = spark.createDataFrame(EDGES, SCHEMA).withColumn("_id", F.lit(7)).withColumn("size", F.lit(9)).withColumn("bucket", F.lit("x"))
     assert mixing.mixed(spark, docs).count() == len(EDGES)
@@ -191,6 +215,60 @@ def test_bins_match_a_plain_best_fit():
         assert sharding.best_fit_decreasing(sizes, capacity) == want
 
 
+def test_runs_equal_one_by_one_and_the_capacity_is_tight():
+    r = random.Random(4)
+    for _ in range(30):
+        items = [(size, r.randint(1, 9)) for size in r.sample(range(1, 90), 40)]
+        capacity = r.randint(90, 400)
+        runs = sharding.best_fit_runs(items, capacity)
+        ordered = sorted(items, reverse=True)
+        one_by_one = sharding.best_fit_decreasing([s for s, n in ordered for _ in range(n)], capacity)
+        assert [b for i in sorted(range(len(items)), key=lambda i: -items[i][0]) for b, k in runs[i] for _ in range(k)] == one_by_one
+        shards = r.randint(2, 6)
+        total, found = sum(s * n for s, n in items), sharding.pack(items, shards)
+        loads = [0] * shards
+        for (s, n), parts in zip(items, found, strict=True):
+            assert sum(k for _, k in parts) == n  # a run for each bin
+            for b, k in parts:
+                loads[b] += s * k
+        assert sum(loads) == total and max(loads) <= -(-total // shards) + 90
+
+
+def brute_shards(texts, n_shards):
+    """Loads of the shards if every group is packed by itself."""
+    sizes = {}
+    for t in texts:
+        sizes[t] = sizes.get(t, 0) + len((t or "").encode()) + 1
+    capacity = 1
+    while True:  # the smallest capacity, by trying all from a third of the mean
+        capacity = max(capacity + 1, sum(sizes.values()) // n_shards // 3)
+        bins = sharding.best_fit_decreasing(list(sizes.values()), capacity)
+        if max(bins) < n_shards:
+            break
+    loads = [0] * n_shards
+    for b, v in zip(bins, sizes.values(), strict=True):
+        loads[b] += v
+    return sorted(loads)
+
+
+def test_every_group_is_packed(spark, monkeypatch):
+    r = random.Random(41)
+    texts = ["x" * r.choice([3, 3, 3, 9, 20, 200, 700]) + str(i) for i in range(900)] + ["copy"] * 300 + [None] * 30 + ["big " * 900]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    for pieces, bucket in ((256, 4000), (2, 30)):  # most groups alone; nearly all by size
+        monkeypatch.setattr(sharding, "PIECES", pieces)
+        monkeypatch.setattr(sharding, "BUCKET_GROUPS", bucket)
+        loads = [0] * 4
+        of_text = {}
+        for x in sharding.shards(spark, docs, n_shards=4).collect():
+            loads[x.shard] += x.size
+            of_text.setdefault(texts[x.doc_id], set()).add(x.shard)
+        assert sorted(loads) == brute_shards(texts, 4) and all(len(v) == 1 for v in of_text.values())
+    sizes = [1, 65_535, 65_536, 65_537, 10**6, 10**12 + 7]
+    got = [x.c for x in spark.createDataFrame([(s,) for s in sizes], "s long").select(sharding.size_class(F.col("s")).alias("c")).collect()]
+    assert got[:3] == sizes[:3] and all(s <= c <= 1.004 * s for s, c in zip(sizes, got, strict=True))
+
+
 def test_shards(spark):
     r = random.Random(2)
     texts = ["copied text " * 20] * 700 + ["é" * r.randint(0, 300) + str(r.random()) for _ in range(1500)] + ["long " * 5000]
@@ -217,6 +295,7 @@ def test_shards_edge_cases(spark):
     got = sharding.shards(spark, docs, tuple(docs.columns)).collect()
     assert len(got) == len(EDGES)
     assert [x.text_crc32 for x in got if x.text is None] == [None]
+    assert {x.input_shard for x in got} == {x.input_slot for x in got} == {1}  # columns of the input stay
     assert sharding.shards(spark, spark.createDataFrame([], SCHEMA)).count() == 0
 
 
