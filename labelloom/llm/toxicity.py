@@ -10,13 +10,16 @@ clean rows only are exceptions; a match inside one counts nothing.  Matches are
 whole words.  The score is a logistic function of the matched weight and of its
 density in the text.
 
-Bounds: ``TRAIN_ROWS`` labelled rows with the smallest hash of the id, ``ENTRIES``
-lexicon words and as many phrases; counts are aggregated before any reaches the
+Bounds: ``TRAIN_ROWS`` labelled rows with the smallest hash of the id; their texts are
+joined and written once.  Every word and phrase of theirs that passes the tests is taken,
+so the lexicon is bounded by the sample; counts are aggregated before any reaches the
 driver.
 
 Defined results: null and empty texts match nothing and get the base score; ids with
-several labels count once (the larger); without labels or lexicon all scores are
-the base score.
+several labels count once (the larger); rows sharing a ``doc_id``, or without one, are
+scored each, and learned from each if labelled; very long texts are read whole; without
+labels or lexicon all scores are the base score; an empty table gives an empty result; other
+columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import Space, held_out, prepare
 from .quality_model import labelled
 
-TRAIN_ROWS, ENTRIES = 20_000, 4096
+TRAIN_ROWS = 20_000
 #: Share of chance finds among the entries at most, and least clean rows of an exception.
 CHANCE, LEAST_CLEAN = 0.05, 3
 #: Cuts tried for the log-likelihood ratio: multiples of 1 / STEPS below TOP.
@@ -123,10 +126,18 @@ def _counted(rows: DataFrame, items) -> DataFrame:
 
 
 def _phrases(lexicon: Lexicon, folded: str) -> set[str]:
-    out = set()
-    for a, b, _ in lexicon.matches(folded):
-        before, after = re.search(r"[^\W_]+ $", folded[max(0, a - 60) : a]), re.match(r" [^\W_]+", folded[b : b + 60])
-        out |= {m for m in (before and before[0] + folded[a:b], after and folded[a:b] + after[0]) if m}
+    """Each match with the whole word that stands one space before or after it."""
+    found = lexicon.matches(folded)
+    if not found:
+        return set()
+    runs = [m.span() for m in _RUN.finditer(folded)]
+    starts, out = [a for a, _ in runs], set()
+    for a, b, _ in found:
+        i, j = bisect_left(starts, a) - 1, bisect_left(starts, b)
+        if i >= 0 and runs[i][1] == a - 1 and folded[a - 1] == " ":
+            out.add(folded[runs[i][0] : b])
+        if j < len(runs) and starts[j] == b + 1 and folded[b] == " ":
+            out.add(folded[a : runs[j][1]])
     return out
 
 
@@ -172,20 +183,23 @@ def learn(rows: DataFrame) -> Lexicon:
     words = _counted(rows, lambda folded: set(_RUN.findall(folded))).filter(F.length("item") > 2)
     words = words.withColumn("ratio", 2 * (term(a, F.lit(p), rate) + term(b, F.lit(q), rate))).withColumn("weight", weight)
     most = F.least(a + b, F.lit(p))
-    words = Space(rows.sparkSession, "words").save(words.withColumn("top", 2 * (term(most, F.lit(p), rate) + term(a + b - most, F.lit(q), rate))))
+    space = Space(rows.sparkSession, "words")
+    words = space.save(words.withColumn("top", 2 * (term(most, F.lit(p), rate) + term(a + b - most, F.lit(q), rate))))
     cut = least_ratio(words)
     if cut is None:
+        space.clear()
         return Lexicon({})
-    best = words.filter((F.col("ratio") >= cut) & (F.col("weight") > LEAST_WEIGHT)).orderBy(F.desc("ratio"), "item").limit(ENTRIES)
-    found = best.select("item", "weight", "ratio", "toxic").collect()
+    best = words.filter((F.col("ratio") >= cut) & (F.col("weight") > LEAST_WEIGHT))
+    found = best.select("item", "weight", "ratio", "toxic").collect()  # beyond chance in the sample
     ratios = {r["item"]: r["ratio"] for r in found}
+    space.clear()
     # words that only keep company with stronger ones, as in copies of one text, explain nothing
-    near = _counted(rows, lambda folded: _strongest(ratios, folded)).filter(F.col("toxic") > 0).select("item", "toxic").collect()  # ENTRIES at most
+    near = _counted(rows, lambda folded: _strongest(ratios, folded)).filter(F.col("toxic") > 0).select("item", "toxic").collect()  # some of `found`
     alone = {r["item"]: r["toxic"] for r in near}
     lexicon = Lexicon({r["item"]: r["weight"] for r in found if 2 * alone.get(r["item"], 0) >= r["toxic"]})
     if not lexicon.weights:
         return lexicon
-    phrases = _counted(rows, lambda folded: _phrases(lexicon, folded)).filter((F.col("toxic") == 0) & (F.col("clean") >= LEAST_CLEAN)).orderBy(F.desc("clean"), "item").limit(ENTRIES)
+    phrases = _counted(rows, lambda folded: _phrases(lexicon, folded)).filter((F.col("toxic") == 0) & (F.col("clean") >= LEAST_CLEAN))
     return Lexicon(lexicon.weights, {r["item"] for r in phrases.collect()})
 
 
@@ -202,7 +216,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``."""
     prepare(spark)
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(labelled(labels, "toxic", rows=TRAIN_ROWS)), "doc_id").select("text", "y")
+    space = Space(spark, "toxicity")
+    rows = space.save(docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(labelled(labels, "toxic", rows=TRAIN_ROWS)), "doc_id").select("text", "y"))
     shared = spark.sparkContext.broadcast(learn(rows))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +236,7 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: f
         w = _logistic(x, np.repeat(y, n).astype(float)).tolist()
     else:
         w = [0.0, 0.0, 0.0]
+    space.clear()
     out = docs.select(F.col("doc_id").cast("long"), held_out("doc_id", 4, 2).alias("held_out"), F.col("text").cast("string")).mapInArrow(measured, "doc_id long, held_out boolean, total double, density double")
     score = 1 / (1 + F.exp(-(w[0] + w[1] * F.col("total") + w[2] * F.col("density"))))
     return out.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
