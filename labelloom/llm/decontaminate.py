@@ -6,13 +6,19 @@ it: at each word the automaton holds the longest match that ends there.  Where i
 reaches the window length (or a whole shorter item), the matched span is marked;
 spans give the hit words, and the states' item sets tell which items occur.
 
-The automaton is broadcast.  Its size is bounded by ``MAX_WORDS`` item words; more
-items make several automata, each read by a pass of its own over the same rows
-in the same stage chain, so no broadcast grows past the bound.
+The automaton is broadcast.  Its size is bounded by ``MAX_WORDS`` item words.  If there are
+more, hashes of all windows of the items are first joined with those of the
+documents, and only items with a window that may occur go into automata; what they are
+is settled by the automaton alone, so the result is the same.  If these are still
+more than ``MAX_WORDS`` words, they make several automata, each read by a pass of its own over
+the same rows in the same stage chain, so no broadcast grows past the bound; the time
+then grows with the words of *occurring* items.
 
 Defined results: null texts have no words and no hits; items without words have
-no window; equal items are all counted; an empty table of items leaves every
-document clean; rows sharing a ``doc_id`` are answered row by row.
+no window; equal items are all counted, null identifiers as the empty one; an empty table of items leaves every
+document clean; rows sharing a ``doc_id``, or without one, are answered row by row; very long texts
+are read whole; an empty table gives an empty result; other columns, whatever they are
+called, are ignored by ``contamination`` and kept by ``remove``.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,16 +157,56 @@ class SuffixAutomaton:
         return spans, names
 
 
-def _automata(spark: SparkSession, items: DataFrame, window: int) -> list:
+def _window_hashes(texts: DataFrame, lengths: tuple[int, ...], of_items: int = 0) -> DataFrame:
+    """h: distinct hashes of each text's windows of ``lengths`` words; with ``of_items`` (the window), of an item's own windows, with its item_id and text."""
+    columns = ["item_id", "text"] if of_items else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, hashes = [], []
+            for i, text in enumerate(batch.column("text")):
+                w = [xxhash.xxh3_64_intdigest(x) for x in words(text.as_py())]
+                own: set[int] = set()
+                for n in (min(of_items, len(w)),) if of_items else lengths:
+                    if n and len(w) >= n:
+                        x = np.array(w, np.uint64)
+                        h = np.full(len(w) - n + 1, n, np.uint64)
+                        for k in range(n):
+                            h = (h ^ x[k : len(w) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+                            h ^= h >> np.uint64(29)
+                        own.update(np.unique(h).view(np.int64).tolist())
+                rows += [i] * len(own)
+                hashes += own
+            taken = batch.take(pa.array(rows, pa.int64())) if columns else None
+            yield pa.RecordBatch.from_arrays([*([taken.column(c) for c in columns] if columns else []), pa.array(hashes, pa.int64())], [*columns, "h"])
+
+    return texts.select(*columns or ["text"]).mapInArrow(run, ", ".join([*(f"{c} string" for c in columns), "h long"]))
+
+
+def _occurring(items: DataFrame, docs: DataFrame, window: int) -> DataFrame:
+    """Items (item_id, text) of which a window may occur in ``docs`` (by hashes, so some more)."""
+    sizes = items.select(F.least(F.size(F.regexp_extract_all("text", F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), 1)), F.lit(window)).alias("n")).filter("n > 0").distinct()
+    lengths = tuple(sorted(r["n"] for r in sizes.collect()))  # `window` rows at most
+    own = _window_hashes(items, (), of_items=window)
+    known = own.select("h").distinct()
+    found = _window_hashes(docs.select(F.col("text").cast("string").alias("text")), lengths).join(known, "h", "left_semi").distinct()
+    return own.join(found, "h", "left_semi").select("item_id", "text").distinct()
+
+
+def _automata(spark: SparkSession, items: DataFrame, docs: DataFrame, window: int) -> list:
     """Broadcast automata, each of at most ``MAX_WORDS`` item words."""
+    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))).alias("n")).first()["n"] or 0
+    if total > MAX_WORDS:
+        items = _occurring(items, docs, window)
     out, part, size = [], [], 0
-    for row in items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
+    for row in items.toLocalIterator():
         sequence = words(row["text"])
         if part and size + len(sequence) > MAX_WORDS:
             out.append(spark.sparkContext.broadcast(SuffixAutomaton(part, window)))
             part, size = [], 0
         if sequence:
-            part.append((row["item_id"] or "", sequence))
+            part.append((row["item_id"], sequence))
             size += len(sequence)
     if part or not out:
         out.append(spark.sparkContext.broadcast(SuffixAutomaton(part, window)))
@@ -197,22 +244,29 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, window
         return run
 
     kept = docs.select(*keep, F.col("text").cast("string").alias("_text"), F.lit(None).cast("array<array<int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
-    for bc in _automata(spark, items, window):
+    for bc in _automata(spark, items, docs, window):
         kept = kept.mapInArrow(passes(bc), kept.schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return kept.select(*keep, *["_text"] * with_text, "n_words", "spans", hit.alias("n_hit"), "items")
 
 
 def remove(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 10, max_share: float = 0.0) -> DataFrame:
-    """``docs`` without documents of which more than ``max_share`` of the words are hit.
+    """``docs`` without what stands in ``items``.
 
-    With 0 every document with a hit goes.  Spans of documents within the limit
-    can be cut out by ``cut_spans``.
+    A document of which more than ``max_share`` of the words are hit goes; of any other the
+    hit spans are cut out of the text.  With 0 every document with a hit goes.
     """
     rest = [c for c in docs.columns if c != "text"]
     nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), "text")
     found = contamination(spark, nested, items, window, keep=("_row",), with_text=True)
     kept = found.filter(F.col("n_hit") <= F.lit(max_share) * F.col("n_words"))
+    if max_share > 0:
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [cut_spans(t.as_py(), s) for t, s in zip(batch.column("_text"), batch.column("spans").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], ["_row", "_text"])
+
+        kept = kept.select("_row", "_text", "spans").mapInArrow(cut, kept.select("_row", "_text").schema)
     return kept.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
