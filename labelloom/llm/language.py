@@ -12,12 +12,16 @@ Everything is vectorised over the words of a batch: one chain holds all its
 documents, with breaks between them, and is cut into chunks whose transfer
 products are combined (forward-backward as a prefix scan).
 
-Training: ``TRAIN_DOCS`` documents per language with the smallest hash of the id.
+Training: ``TRAIN_DOCS`` documents per language with the smallest hash of the id, of which
+the driver gets the whole texts, one for each id.
 Their passages are cut and shuffled into code-switched sequences, and the
 conditional likelihood is climbed by AdaGrad.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0;
-without any training rows all do; null languages teach nothing.
+without any training rows all do; null languages teach nothing; rows sharing a ``doc_id``,
+or without one, are answered each, and of rows of one training id the one with the smallest text
+teaches; very long texts are read whole; an empty table gives an empty result; other
+columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -250,11 +254,12 @@ def fit(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (share("doc_id", 5) != 0)).select("doc_id", F.col("lang").cast("string"))
     # the smallest hashes of each language, without gathering a language in one task
     salted = known.withColumn("h", F.xxhash64(F.lit("lang"), "doc_id")).withColumn("salt", F.pmod("h", F.lit(64)))
-    best = salted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).filter(F.col("r") <= per_language)
+    best = salted.select("lang", "doc_id", "h", "salt").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).filter(F.col("r") <= per_language)
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= per_language).select("doc_id")
     if best.count() <= SMALL:  # a few hundred ids a language: texts need no shuffle then
         best = F.broadcast(best)
-    rows = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).join(best, "doc_id", "left_semi").toArrow()
+    found = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).filter("text is not null and lang is not null").join(best, "doc_id", "left_semi")
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "r.*").toArrow()
     table = sorted(r for r in zip(*[rows.column(c).to_pylist() for c in ("doc_id", "text", "lang")], strict=True) if r[1] is not None and r[2] is not None)
     return train([t for _, t, _ in table], [x for _, _, x in table])
 

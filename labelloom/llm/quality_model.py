@@ -12,7 +12,9 @@ Only their feature vectors reach the driver, and only the weights are broadcast.
 
 Defined results: null and empty texts have the bias alone and get its score; ids
 with several labels count once (the larger); no labels at all give 0.5; rows
-sharing a ``doc_id`` are scored each.
+sharing a ``doc_id``, or without one, are scored each, and of rows of one training id the one with the
+smallest vector teaches; very long texts are read whole; an empty table gives an
+empty result; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -115,7 +117,9 @@ def fit(docs: DataFrame, sample: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["doc_id", "y", "at", "x"])
 
     found = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
-    rows = found.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, at binary, x binary").toArrow()
+    vectors = found.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, at binary, x binary")
+    # a row for each id of the sample, however often the table has it
+    rows = vectors.groupBy("doc_id", "y").agg(F.min(F.struct("at", "x")).alias("v")).select("doc_id", "y", "v.*").toArrow()
     table = sorted(zip(*[rows.column(c).to_pylist() for c in ("doc_id", "at", "x", "y")], strict=True), key=lambda r: r[:3])
     return train([(np.frombuffer(a, np.uint32).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64), y) for _, a, x, y in table])
 

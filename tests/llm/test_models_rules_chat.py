@@ -82,6 +82,127 @@ def test_toxic_words_of_a_small_language_are_learned(spark):
     assert not toxicity.learn(spark.createDataFrame([(" ".join(r.sample(common, 20)), int(i % 10 == 0)) for i in range(1000)], "text string, y int")).weights
 
 
+def test_phrases_reach_to_the_ends_of_words():
+    long = "x" * 5000
+    lexicon = toxicity.Lexicon({"bad": 1.0})
+    assert toxicity._phrases(lexicon, f"{long} bad {long}y, bad") == {f"{long} bad", f"bad {long}y"}
+    assert toxicity._phrases(lexicon, "one  bad\ttwo; not bad!") == {"not bad"}
+
+
+def brute_lexicon(rows):
+    """The entries by plain counting: every cut tried, every word that passes taken."""
+    p, q = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    words = {}
+    for t, y in rows:
+        for w in set(re.findall(r"[^\W_]+", toxicity.fold(t))):
+            if len(w) > 2:
+                words.setdefault(w, [0, 0])[1 - y] += 1
+
+    def ratio(a, b):
+        r = (a + b) / (p + q)
+        return 2 * sum((k * math.log(k / (n * r)) if k else 0) + ((n - k) * math.log((n - k) / (n * (1 - r))) if n - k else 0) for k, n in ((a, p), (b, q)))
+
+    found = {w: (ratio(a, b), math.log((a + 0.5) / (p + 1)) - math.log((b + 0.5) / (q + 1)), ratio(min(a + b, p), a + b - min(a + b, p)), a) for w, (a, b) in words.items()}
+    for cut in (c / 4 for c in range(1, 241)):
+        tested = sum(top >= cut for _, _, top, _ in found.values())
+        taken = {w for w, (r, weight, _, _) in found.items() if r >= cut and weight > 1.5}
+        if taken and tested * math.erfc(math.sqrt(cut / 2)) <= 0.05 * len(taken):
+            break
+    else:
+        return {}
+    alone = dict.fromkeys(taken, 0)
+    for t, y in rows:
+        own = taken & set(re.findall(r"[^\W_]+", toxicity.fold(t)))
+        top = max((found[w][0] for w in own), default=0)
+        for w in own:
+            alone[w] += y * (found[w][0] >= 0.5 * top)
+    return {w: found[w][1] for w in taken if 2 * alone[w] >= found[w][3]}
+
+
+def test_lexicon_equals_plain_counts(spark):
+    r = random.Random(15)
+    common = vocabulary(r, 60)
+    bad = [f"bad{chr(97 + i)}" for i in range(12)]
+    rows = []
+    for i in range(600):
+        t = [r.choice(common) for _ in range(r.randint(0, 25))]
+        y = int(i % 6 == 0)
+        if r.random() < (0.9 if y else 0.02):
+            t.insert(r.randint(0, len(t)), r.choice(bad))
+        rows.append((" ".join(t) if i % 50 else None, y))
+    got, want = toxicity.learn(spark.createDataFrame(rows, "text string, y int")).weights, brute_lexicon([(t or "", y) for t, y in rows])
+    assert set(got) == set(want) and len(want) > 5 and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+
+
+def test_toxicity_scores_equal_plain_ones(spark, tables):
+    """Every row's score is the logistic function of what its own lexicon finds in its whole text."""
+    labels = quality_model.labelled(tables["labels"], "toxic", rows=toxicity.TRAIN_ROWS).collect()
+    texts = {x.doc_id: x.text for x in tables["documents"].select("doc_id", "text").collect()}
+    sample = [(texts[x.doc_id], x.y) for x in labels if x.doc_id in texts]
+    lexicon = toxicity.learn(spark.createDataFrame(sample, "text string, y int"))
+
+    def find(t):  # word by word and phrase by phrase instead of by automaton
+        folded = toxicity.fold(t or "")
+        places = [m.span() for m in re.finditer(r"(?<![^\W_])[^\W_]+(?![^\W_])", folded)]
+        covered = [(a, a + len(e)) for e in lexicon.exceptions for a in [m.start() for m in re.finditer(rf"(?<![^\W_])(?={re.escape(e)}(?![^\W_]))", folded)]]
+        total = sum(lexicon.weights.get(folded[a:b], 0.0) for a, b in places if not any(x <= a and b <= z for x, z in covered))
+        return (math.log1p(total), math.log1p(100 * total / max(1, len(folded.split())))) if total else (0.0, 0.0)
+
+    x = np.array([[1.0, *find(t)] for t, _ in sample])
+    w = toxicity._logistic(x, np.array([y for _, y in sample], float))
+    got = {r.doc_id: r.score for r in toxicity.scored(spark, tables["documents"], tables["labels"]).collect()}
+    want = {i: 1 / (1 + math.exp(-float(w @ np.array([1.0, *find(t)])))) for i, t in texts.items()}
+    assert max(abs(got[i] - want[i]) for i in texts) < 1e-6
+
+
+def test_ftrl_equals_a_plain_loop():
+    r = random.Random(2)
+    rows = [(np.array(sorted(r.sample(range(50), 6))), np.array([r.random() for _ in range(6)]), r.randint(0, 1)) for _ in range(40)]
+    z, n = [0.0] * 50, [0.0] * 50
+
+    def weight(i):
+        if abs(z[i]) <= quality_model.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality_model.L1, z[i])) / ((quality_model.BETA + math.sqrt(n[i])) / quality_model.ALPHA + quality_model.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(quality_model.EPOCHS):
+        for k in order.permutation(len(rows)):
+            at, x, y = rows[k]
+            w = [weight(i) for i in at]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
+            for i, v, a in zip(at, x, w, strict=True):
+                g = (p - y) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality_model.ALPHA
+                z[i] += g - sigma * a
+                n[i] += g * g
+    got = quality_model.train(rows)
+    assert np.allclose(got[:50], [weight(i) for i in range(50)], atol=1e-6) and not got[50:].any()
+
+
+def test_quality_scores_equal_plain_ones(spark, tables):
+    """Every row's score is the logistic function of its own text's vector and the weights of the sample."""
+    texts = {x.doc_id: x.text for x in tables["documents"].select("doc_id", "text").collect()}
+    sample = [(x.doc_id, *quality_model.features(texts[x.doc_id]), x.y) for x in quality_model.labelled(tables["labels"], "quality").collect() if x.doc_id in texts]
+    sample.sort(key=lambda x: x[0])
+    w = quality_model.train([(a.astype(np.int64), x.astype(np.float64), y) for _, a, x, y in sample])
+    got = {r.doc_id: r.score for r in quality_model.scored(spark, tables["documents"], tables["labels"]).collect()}
+    for i, t in texts.items():
+        a, x = quality_model.features(t)
+        assert abs(got[i] - 1 / (1 + math.exp(-float(w[a] @ x)))) < 1e-9
+
+
+def test_models_with_repeated_and_long_rows(spark):
+    docs = spark.createDataFrame([(1, "aa bb cc", "en", "a", 0)] * 4 + [(1, "other text here", "en", "a", 0), (2, "dd ee ff " * 40_000, "de", "a", 0), (None, "aa bb", "en", "a", 0)], SCHEMA).withColumn("y", F.lit(5)).withColumn("h", F.lit(5)).withColumn("r", F.lit("x"))
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    for f in (quality_model.scored, toxicity.scored):
+        got = f(spark, docs, labels).collect()
+        assert len(got) == 7 and len({r.score for r in got if r.doc_id == 1}) <= 2
+        assert f(spark, docs.limit(0), labels).count() == 0
+    got = language.identified(spark, docs).collect()
+    assert len(got) == 7 and {r.lang_pred for r in got if r.doc_id == 2} <= {"de", "en", "und"}
+
+
 def test_ftrl_learns_and_stays_sparse():
     r = random.Random(1)
     words = vocabulary(r)
