@@ -1,9 +1,11 @@
 """Chat formatting: linking tool calls to their results, in DataFrame functions only.
 
 Calls and results are hash-joined by identifier.  Levels give a topological
-order: a call stands one level above the deepest call that it depends on, found in
-rounds of joins, one for each level.  Arguments are validated against the schema
-of the named tool.  Each call is serialised with its result as canonical
+order: a call stands one level above the deepest call that it depends on.  Chains of
+calls that each need one other are contracted by pointer doubling; then rounds of joins
+go over the calls with several needs.  So there are about log2 of the longest chain
+rounds, and one more for each call with several needs on the deepest path.
+Arguments are validated against the schema of the named tool.  Each call is serialised with its result as canonical
 JSON: keys in code-point order, no spaces, characters above ASCII as they are.
 
 Rows stay one a call from start to end; a conversation of any length is never
@@ -13,11 +15,17 @@ Defined results: the smallest row of several with one identifier counts; a call
 a result has ``linked`` false and a null result; a result without a call is a row
 of its own, with a null name; arguments that are no JSON object are invalid and
 serialised as null; dependencies on unknown calls are ignored; calls in or behind
-a cycle have a null level; null identifiers link nothing and are left out.
+a cycle have a null level; null identifiers link nothing and are left out by ``linked``.
+``every_turn`` carries every row of the table: what ``linked`` leaves out, other roles, and rows
+without conversation or turn stand as rows of their own, and so does each of several equal
+rows; very long texts are written whole; an empty table gives an empty result; other
+columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +34,8 @@ from .common import Space
 #: Types that a schema can name, and how Spark's variant type calls them.
 _TYPES = {"string": "STRING", "integer": "BIGINT", "number": r"BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
 
-#: The tool that turns of a plain conversation stand for.
-REPLY = {"reply": {"required": {"prompt": "string"}, "optional": {"context": "string"}}}
+#: The tools that turns of a plain conversation stand for: its first question, and what follows on an earlier one.
+TURNS = {"ask": {"required": {"prompt": "string"}}, "follow": {"required": {"after": "string", "prompt": "string"}}}
 
 
 def json_text(value: Column) -> Column:
@@ -55,26 +63,51 @@ def problems(name: Column, arguments: Column, tools: dict) -> Column:
     return out.otherwise(F.array(F.lit("unknown tool")))
 
 
+def _anchors(calls: DataFrame, needs: DataFrame, space: Space) -> DataFrame:
+    """id, up, dist: the call that a chain of single needs leads to, and its length; rings lead nowhere and are left out.
+
+    ``needs``: id, n (needs of the call), up (one of them).
+    """
+    single = F.col("n") == 1
+    own = calls.select("id").join(needs, "id", "left").select("id", F.when(single, F.col("up")).alias("up"), F.when(single, 1).otherwise(0).cast("long").alias("dist"))
+    pointers = space.save(own.withColumn("open", F.col("up").isNotNull()))
+    for _ in range(2 + math.ceil(math.log2(max(2, pointers.count())))):
+        if pointers.filter("open").isEmpty():
+            break
+        # an end of a chain points nowhere; whoever points at one is settled
+        ahead = pointers.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("dist").alias("_dist"))
+        moved = pointers.join(ahead, "up", "left").select("id", F.coalesce("_up", "up").alias("up"), (F.col("dist") + F.when(F.col("_up").isNotNull(), F.col("_dist")).otherwise(0)).alias("dist"), F.col("_up").isNotNull().alias("open"))
+        pointers, old = space.save(moved), pointers
+        space.drop(old)
+    return pointers.filter("not open").select("id", F.coalesce("up", "id").alias("up"), "dist")
+
+
 def levels(calls: DataFrame, edges: DataFrame, space: Space) -> DataFrame:
     """id, level of each call that has one; ``edges`` (id, needs) between known calls."""
     edges = space.save(edges.distinct())
-    done = space.save(calls.select("id").join(edges.select("id").distinct(), "id", "left_anti").withColumn("level", F.lit(0)))
-    parts, open_edges = [done], edges
-    while open_edges.limit(1).count() and done.limit(1).count():
+    needs = edges.groupBy("id").agg(F.count("*").alias("n"), F.min("needs").alias("up"))
+    anchors = space.save(_anchors(calls, needs, space))
+    # what is left: calls without needs, level 0, and calls with several, one above the deepest of them
+    several = needs.filter("n > 1").select("id")
+    ends = anchors.select(F.col("id").alias("needs"), F.col("up").alias("_up"), (F.col("dist") + 1).alias("far"))
+    open_edges = space.save(edges.join(several, "id", "left_semi").join(ends, "needs", "left").select("id", F.col("_up").alias("needs"), "far", F.lit(None).cast("long").alias("below")))
+    done = space.save(anchors.select(F.col("up").alias("id")).distinct().join(several, "id", "left_anti").withColumn("level", F.lit(0).cast("long")))
+    parts = [done]
+    while not open_edges.isEmpty() and not done.isEmpty():
         # what an edge needs is settled once, so an edge met keeps only its level
         met = open_edges.join(done.select(F.col("id").alias("needs"), F.col("level").alias("_new")), "needs", "left")
-        has_level = "below" in open_edges.columns
-        below = F.coalesce("below", "_new") if has_level else F.col("_new")
-        open_edges = space.save(met.select("id", "needs", below.alias("below")))
-        state = open_edges.groupBy("id").agg(F.count("*").alias("n"), F.count("below").alias("m"), F.max("below").alias("top"))
-        ready = state.filter("n = m").select("id", (F.col("top") + 1).alias("level"))
-        done = space.save(ready)
+        open_edges, old = space.save(met.select("id", "needs", "far", F.coalesce("below", F.col("_new") + F.col("far")).alias("below"))), open_edges
+        space.drop(old)
+        state = open_edges.groupBy("id").agg(F.count("*").alias("n"), F.count("below").alias("m"), F.max("below").alias("level"))
+        done = space.save(state.filter("n = m").select("id", "level"))
         parts.append(done)
-        open_edges = space.save(open_edges.join(done.select("id"), "id", "left_anti"))
-    out = parts[0]
+        open_edges, old = space.save(open_edges.join(done.select("id"), "id", "left_anti")), open_edges
+        space.drop(old)
+    found = parts[0]
     for p in parts[1:]:
-        out = out.union(p)
-    return out
+        found = found.union(p)
+    found = found.select(F.col("id").alias("up"), "level")
+    return anchors.join(found, "up").select("id", (F.col("level") + F.col("dist")).cast("int").alias("level"))
 
 
 def linked(spark: SparkSession, calls: DataFrame, results: DataFrame, tools: dict) -> DataFrame:
@@ -101,14 +134,17 @@ def linked(spark: SparkSession, calls: DataFrame, results: DataFrame, tools: dic
 def conversation_calls(talk: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that a plain conversation stands for.
 
-    Each user turn calls ``reply`` with its text and needs the conversation's
-    first call; the assistant's turn right after it is the result.
+    A conversation's first user turn calls ``ask``; each later one calls ``follow``, naming
+    and needing the question two turns before.  The assistant's turn right after a call is its result.
     """
     turn, conv = F.col("turn").cast("long"), F.col("conv_id").cast("string")
     text = F.col("text").cast("string")
     users = talk.filter(F.col("role") == "user").select(conv.alias("conv"), turn.alias("place"), text.alias("text"))
     opening = users.groupBy("conv").agg(F.min("place").alias("first"))
-    calls = users.join(opening, "conv").select(F.concat_ws("-", "conv", "place").alias("id"), "place", F.lit("reply").alias("name"), F.concat(F.lit('{"prompt":'), json_text(F.col("text")), F.lit("}")).alias("arguments"), F.when(F.col("place") > F.col("first"), F.array(F.concat_ws("-", "conv", "first"))).otherwise(F.array().cast("array<string>")).alias("needs"))
+    later, before = F.col("place") > F.col("first"), F.concat_ws("-", "conv", F.col("place") - 2)
+    prompt = F.concat(F.lit('"prompt":'), json_text(F.col("text")), F.lit("}"))
+    arguments = F.when(later, F.concat(F.lit('{"after":'), json_text(before), F.lit(","), prompt)).otherwise(F.concat(F.lit("{"), prompt))
+    calls = users.join(opening, "conv").select(F.concat_ws("-", "conv", "place").alias("id"), "place", F.when(later, "follow").otherwise("ask").alias("name"), arguments.alias("arguments"), F.when(later, F.array(before)).otherwise(F.array().cast("array<string>")).alias("needs"))
     results = talk.filter(F.col("role") == "assistant").select(F.concat_ws("-", conv, turn - 1).alias("id"), (turn - 1).alias("place"), text.alias("content"))
     return calls, results
 
@@ -116,7 +152,7 @@ def conversation_calls(talk: DataFrame) -> tuple[DataFrame, DataFrame]:
 def formatted(spark: SparkSession, talk: DataFrame, tools: dict | None = None) -> DataFrame:
     """The linked calls of plain conversations; rows of other roles and further rows of a turn are left to ``every_turn``."""
     calls, results = conversation_calls(talk.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()))
-    return linked(spark, calls, results, tools or REPLY)
+    return linked(spark, calls, results, tools or TURNS)
 
 
 def every_turn(spark: SparkSession, talk: DataFrame, tools: dict | None = None) -> DataFrame:
@@ -137,21 +173,29 @@ def every_turn(spark: SparkSession, talk: DataFrame, tools: dict | None = None)
     found = alike.join(taken, ["conv", "place", "role"], "left")
     left = F.col("n") - F.when(F.col("_taken") & F.col("content").eqNullSafe(F.col("_text")), 1).otherwise(0)
     rest = found.withColumn("n", left).filter("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
-    rest = rest.withColumn("id", F.concat_ws("-", "conv", "place", F.sha1(F.to_json(F.struct("conv", "place", "role", "content"))), "copy"))
+    kind = F.coalesce("role", F.lit("none"))
+    own = F.md5(F.concat(kind, F.lit("\n"), json_text(F.col("content"))).cast("binary"))
+    rest = rest.withColumn("id", F.concat(F.coalesce("conv", F.lit("")), F.lit("-"), F.coalesce(F.col("place").cast("string"), F.lit("")), F.lit("-"), own, F.lit("-"), F.col("copy").cast("string")))
     whole = F.concat(F.lit('{"content":'), json_text(F.col("content")), F.lit(',"id":'), json_text(F.col("id")), F.lit(',"role":'), json_text(F.col("role")), F.lit("}"))
-    rest = rest.select("id", "place", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("level"), F.lit(False).alias("linked"), F.lit(False).alias("valid"), F.lit("").alias("problems"), whole.alias("json"), F.coalesce("role", F.lit("none")).alias("kind"))
+    rest = rest.select("id", "place", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("level"), F.lit(False).alias("linked"), F.lit(False).alias("valid"), F.lit("").alias("problems"), whole.alias("json"), kind.alias("kind"))
     return rows.unionByName(rest)
 
 
 ORACLE_SQL = """
-WITH u AS (SELECT CAST(conv_id AS VARCHAR) AS conv, turn AS place, min(text) AS text, min(text) IS NULL AS void FROM conversations WHERE role = 'user' GROUP BY ALL),
-o AS (SELECT conv, min(place) AS first FROM u GROUP BY conv),
-c AS (SELECT conv || '-' || place AS id, place, text, first FROM u JOIN o USING (conv)),
-r AS (SELECT CAST(conv_id AS VARCHAR) || '-' || (turn - 1) AS id, turn - 1 AS place, min(text) AS content FROM conversations WHERE role = 'assistant' GROUP BY ALL)
-SELECT coalesce(c.id, r.id) AS id, CAST(coalesce(c.place, r.place) AS BIGINT) AS place, CASE WHEN c.id IS NOT NULL THEN 'reply' END AS name,
-  CAST(CASE WHEN c.place > c.first THEN 1 WHEN c.place = c.first THEN 0 END AS INTEGER) AS level, c.id IS NOT NULL AND r.id IS NOT NULL AS linked,
-  c.text IS NOT NULL AS valid, CASE WHEN c.id IS NOT NULL AND c.text IS NULL THEN 'type of prompt' ELSE '' END AS problems,
-  '{"arguments":' || CASE WHEN c.id IS NULL THEN 'null' ELSE '{"prompt":' || coalesce(CAST(to_json(c.text) AS VARCHAR), 'null') || '}' END || ',"id":' || CAST(to_json(coalesce(c.id, r.id)) AS VARCHAR)
-   || ',"name":' || CASE WHEN c.id IS NULL THEN 'null' ELSE '"reply"' END || ',"result":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null') || '}' AS json
+WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS conv, CAST(turn AS BIGINT) AS place, role, CAST(text AS VARCHAR) AS text, coalesce(CAST(to_json(text) AS VARCHAR), 'null') AS j FROM conversations),
+n AS (SELECT *, CASE WHEN conv IS NOT NULL AND place IS NOT NULL AND role IN ('user', 'assistant')
+   THEN row_number() OVER (PARTITION BY conv, place, role ORDER BY CASE WHEN role = 'user' THEN j END, text NULLS FIRST) ELSE 0 END AS k FROM t),
+u AS (SELECT *, min(place) OVER (PARTITION BY conv) AS first, row_number() OVER (PARTITION BY conv, place % 2 ORDER BY place) AS i FROM n WHERE role = 'user' AND k = 1),
+c AS (SELECT *, conv || '-' || place AS id, row_number() OVER (PARTITION BY conv, place % 2, place - 2 * i ORDER BY place) - 1 AS level,
+   '{' || CASE WHEN place > first THEN '"after":' || CAST(to_json(conv || '-' || (place - 2)) AS VARCHAR) || ',' ELSE '' END || '"prompt":' || j || '}' AS arguments FROM u),
+r AS (SELECT conv || '-' || (place - 1) AS id, place - 1 AS place, j FROM n WHERE role = 'assistant' AND k = 1),
+x AS (SELECT *, coalesce(conv, '') || '-' || coalesce(CAST(place AS VARCHAR), '') || '-' || md5(coalesce(role, 'none') || chr(10) || j) || '-' || row_number() OVER (PARTITION BY conv, place, role, text) AS id FROM n WHERE k <> 1)
+SELECT coalesce(c.id, r.id) AS id, coalesce(c.place, r.place) AS place, CASE WHEN c.id IS NOT NULL THEN CASE WHEN c.place > c.first THEN 'follow' ELSE 'ask' END END AS name,
+  CAST(c.level AS INTEGER) AS level, c.id IS NOT NULL AND r.id IS NOT NULL AS linked, c.text IS NOT NULL AS valid, CASE WHEN c.id IS NOT NULL AND c.text IS NULL THEN 'type of prompt' ELSE '' END AS problems,
+  '{"arguments":' || coalesce(c.arguments, 'null') || ',"id":' || CAST(to_json(coalesce(c.id, r.id)) AS VARCHAR)
+   || ',"name":' || CASE WHEN c.id IS NULL THEN 'null' WHEN c.place > c.first THEN '"follow"' ELSE '"ask"' END || ',"result":' || coalesce(r.j, 'null') || '}' AS json,
+  CASE WHEN c.id IS NULL THEN 'result' ELSE 'call' END AS kind
 FROM c FULL JOIN r ON c.id = r.id
+UNION ALL
+SELECT id, place, NULL, NULL, false, false, '', '{"content":' || j || ',"id":' || CAST(to_json(id) AS VARCHAR) || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}', coalesce(role, 'none') FROM x
 """

@@ -506,6 +506,44 @@ def test_tool_calls(spark):
     assert json.loads(got["c3"].json)["result"] == 'say "é"\n' and got["zz"].name is None
 
 
+def plain_levels(needs):
+    """Longest path to a call without needs; calls in or behind a cycle have none."""
+    out = {}
+    while True:
+        ready = {i: 1 + max((out[x] for x in n if x in needs), default=-1) for i, n in needs.items() if i not in out and all(x in out for x in n if x in needs)}
+        if not ready:
+            return {i: out.get(i) for i in needs}
+        out |= ready
+
+
+def test_levels_equal_longest_paths(spark):
+    from labelloom.llm.common import Space
+
+    r = random.Random(17)
+    needs = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(300)}  # one long chain
+    needs |= {f"d{i}": sorted({f"d{r.randrange(i)}" for _ in range(r.choice([1, 1, 1, 2, 3]))} if i else set()) for i in range(60)}
+    needs |= {"r0": ["r2"], "r1": ["r0"], "r2": ["r1"], "s": ["r1"], "t": ["s", "c5"], "u": ["u"], "v": ["gone", "c299"]}
+    calls = spark.createDataFrame([(i,) for i in needs], "id string")
+    edges = spark.createDataFrame([(i, x) for i, n in needs.items() for x in n if x in needs], "id string, needs string")
+    got = {x.id: x.level for x in tool_calls.levels(calls, edges, Space(spark, "levels")).collect()}
+    assert got == {i: v for i, v in plain_levels(needs).items() if v is not None}
+
+
+def test_chat_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "b"), (1, 1, "user", "a"), (1, 1, "user", "a"), (1, 2, "assistant", "x"), (1, 2, "assistant", "y"), (1, 3, "user", 'q"\\'), (1, 5, "user", None), (1, 9, "user", "far"), (1, 4, "tool", "{}"), (1, 3, None, None), (None, 1, "user", "lost"), (2, None, "system", ""), (2, 1, "assistant", "é"), (2, 8, "assistant", None), (2, 8, "assistant", "z"), (3, 0, "user", "long " * 50_000)]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("id", F.lit(1)).withColumn("kind", F.lit("x"))
+    talk.write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    found = con.execute(tool_calls.ORACLE_SQL)
+    names = [d[0] for d in found.description]
+    want = sorted(found.fetchall(), key=str)
+    got = tool_calls.every_turn(spark, talk)
+    assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=str) == want
+
+
 def test_conversations_edge_cases(spark):
     talk = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", ""), (2, 0, "assistant", "lone"), (None, 0, "user", "x"), (3, 2, "user", 'q"\\'), (3, 2, "user", 'q"\\'), (3, 4, "user", "later")], "conv_id long, turn long, role string, text string").withColumn("id", F.lit(1))
     got = {r.id: r for r in tool_calls.formatted(spark, talk).collect()}
