@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_near_mixing_sharding import SCHEMA, brute_components, brute_hits, vocabulary
 
@@ -50,3 +52,25 @@ def test_repeated_rows_and_nulls(spark, tmp_path):
     docs = spark.createDataFrame(rows, SCHEMA)
     got = corpus_pipeline.near_dedup(spark, docs, "")
     assert sorted((r.doc_id or -1) for r in got.collect()) == [-1, 1, 4] and got.columns == docs.columns
+    # one id with different texts, and copies without an id
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text, "en", "a", 0), (1, other, "en", "a", 0), (None, text + " more", "en", "a", 0), (None, "lone " * 9, "en", "a", 0), (3, other, "en", "a", 0), (5, "", "en", "a", 0), (5, None, "en", "a", 0), (6, "word " * 60_000, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("_key", F.lit(1)).withColumn("component_id", F.lit(2))
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id or -1, (r.text or "")[:2]) for r in got.collect())) == [(-1, "lo"), (1, "v0"), (1, "w0"), (5, ""), (5, ""), (6, "wo")]
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    r = random.Random(3)
+    words = vocabulary(r)
+    rows = [(i if i % 9 else None, " ".join(r.choice(words) for _ in range(50)), "en", f"s{i % 2}", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for c in ("kept", "size", "shard", "slot", "_row", "_k", "key", "spans", "position", "n_words", "g", "d2", "target"):
+        docs = docs.withColumn(c, F.lit("own"))
+    spark.createDataFrame([(1, "some text")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"input_size", "input_shard", "input_slot", "kept", "shard"} <= set(out.columns) and out.filter("input_shard = 'own' and kept = 'own'").count() == out.count() > 30
