@@ -46,6 +46,8 @@ BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 BANDS, ROWS = 32, 5
 #: Members of a pivot, and rows of a key, that one task compares; keys above 1/SHARES of all rows are joined apart.
 BLOCK, SHARES = 1000, 4096
+#: Ids whose texts are looked up by a broadcast (16 bytes of fingerprint and a few numbers each); more are joined by a shuffle of the texts.
+SMALL = 400_000
 #: A pair goes on to the exact test if its estimate is at most so many standard errors below the threshold.
 SLACK = 5.0
 
@@ -158,7 +160,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, repeated: bool) -> Dat
 
 
 def _joined(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """``rows`` (with ``id``) and the columns of ``table`` (one row a ``key``, with the number of rows that have it).
+    """``rows`` (with ``id``) and the columns of ``table`` (one row a ``key``, a number or bytes, with the number of rows that have it).
 
     Keys with more than ``total / SHARES`` rows are few whatever the tables' sizes; they are
     broadcast, and their rows stay where they are.
@@ -167,7 +169,10 @@ def _joined(rows: DataFrame, table: DataFrame, key: str, count: str, total: int)
     hot, rest = table.filter(F.col(count) > cut), table.filter(F.col(count) <= cut)
     names = [c for c in table.columns if c != key]
     out = rows.join(F.broadcast(hot.select(key, *[F.col(c).alias(f"_h_{c}") for c in names])), key, "left")
-    out = out.withColumn("_k", F.when(F.col(f"_h_{count}").isNull(), F.col(key)).otherwise(F.xxhash64("id", key)))
+    other = F.xxhash64("id", key)
+    if dict(rows.dtypes)[key] == "binary":
+        other = F.unhex(F.sha1(other.cast("string").cast("binary")))
+    out = out.withColumn("_k", F.when(F.col(f"_h_{count}").isNull(), F.col(key)).otherwise(other))
     out = out.join(rest.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_c_{c}") for c in names]), "_k", "left")
     found = out.select(*[F.col(c) for c in rows.columns], *[F.when(F.col(f"_h_{count}").isNotNull(), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in names])
     return found.filter(F.col(count).isNotNull())
@@ -296,12 +301,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     prepare(spark)
     space = Space(spark, "setsketch")
     sketches = space.save(sketch(docs, width))
-    classes = sketches.filter("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    member = space.save(sketches.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
+    some = sketches.filter("n_shingles > 0")
+    classes = space.save(some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")))
+    of_class = _joined(some.select(F.col("doc_id").alias("id"), "n_shingles", "fp"), classes, "fp", "k", sketches.count()).select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("rep", "id").alias("rep"))
+    member = space.save(of_class.unionByName(sketches.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))))
     chosen = member.filter("n_shingles > 0").select(F.col("rep").alias("doc_id")).distinct()
     named = sketches.filter("n_shingles > 0").join(chosen, "doc_id", "left_semi").groupBy("doc_id")
     reps = space.save(named.agg(F.min_by(F.struct("fp", "n_shingles", "regs"), "fp").alias("s"), F.count("*").alias("rows")).select("doc_id", "s.*", "rows"))
-    space.drop(sketches)
+    space.drop(sketches, classes)
     repeated = not reps.filter("rows > 1").isEmpty()
 
     # buckets: (band, its registers) -> members
@@ -317,7 +324,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     parts = stars.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     wanted = ids.select("id").join(stars.join(parts, "b").select(F.col("a").alias("id"), F.col("b").alias("pivot"), "parts"), "id", "left")
     wanted = wanted.join(parts.select(F.col("b").alias("id"), F.col("parts").alias("own_parts")), "id", "left").join(reps.select(F.col("doc_id").alias("id"), "fp"), "id")
-    sets = space.save(_sets(docs, wanted, width, repeated))
+    wanted = space.save(wanted)
+    sets = space.save(_sets(docs, F.broadcast(wanted) if wanted.count() <= SMALL else wanted, width, repeated))
     links = space.save(_confirmed_stars(sets, percent))
     found = components(links, space)
 
@@ -326,7 +334,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     mixed = space.save(m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("key", "k"))
     open_ids = _joined(m, mixed, "key", "k", m.count()).select("id", "c").distinct()
     open_ids = space.save(open_ids.join(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")), "id"))
-    space.drop(m, buckets, shared, mixed, ids, stars)
+    space.drop(m, buckets, shared, mixed, ids, stars, wanted)
     last = space.save(_likely(_shared_prefix(open_ids, sets, percent, space), reps, percent))
     more = space.save(_confirmed(sets, last, percent))
     space.drop(sets, last, open_ids)
