@@ -17,9 +17,9 @@ form of the estimator, so none is singular.
 
 Each step is one aggregation by group and start, of sums that partial aggregation
 reduces before any shuffle, and of a percentile sketch; rows of a hot group never
-meet in one task.  Group estimates are joined back to the rows (Spark broadcasts
-them if their measured size allows, else it splits skewed partitions).  The driver
-sees one count a step.
+meet in one task.  Group estimates are broadcast to the rows up to ``SMALL`` groups, which are
+counted first; beyond, both sides are joined by a shuffle, in which Spark splits skewed
+partitions.  The driver sees one count a step.
 
 Defined results: null, empty and blank texts have zeros, fail the base rules and have
 no distance; null language or source is a group of its own; repeated rows count
@@ -52,6 +52,8 @@ FEW_LINES = 6
 HALF, REWEIGHT, CUT = 0.5, 0.975, 0.99999
 #: Relative accuracy of the distance quantile.
 ACCURACY = 1000
+#: Groups whose estimates are broadcast (three starts of 25 numbers each).
+SMALL = 20_000
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -161,6 +163,10 @@ def _estimate(rows: DataFrame, scale: float) -> DataFrame:
     return _factored(sums).select(*_PARAMS)
 
 
+def _sent(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
 def kept_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns, whatever they are called."""
     out = _judged(spark, docs, tuple(docs.columns)).filter("kept")
@@ -190,12 +196,12 @@ def _groups(spark: SparkSession, good: DataFrame, space: Space) -> DataFrame:
     return space.save(out.select("g", F.when(enough, own).when(lang_enough, lang).otherwise(whole).alias("key"), F.array_compact(keys).alias("keys")))
 
 
-def _starts(members: DataFrame, middle: DataFrame) -> DataFrame:
+def _starts(members: DataFrame, middle: DataFrame, few: bool) -> DataFrame:
     """First estimates of each key: medians and deviations, spatial signs about the median, plain moments."""
-    off = members.join(middle, "key")
+    off = members.join(_sent(middle, few), "key")
     spread = off.groupBy("key").agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"b{i}")), 0.5, ACCURACY).alias(f"a{i}") for i in range(DIM)])
     scales = spread.select("key", *[F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + RIDGE[i] ** 2).alias(f"s{i}") for i in range(DIM)])
-    rows = off.join(scales, "key")
+    rows = off.join(_sent(scales, few), "key")
     unit = [(F.col(f"x{i}") - F.col(f"b{i}")) / F.col(f"s{i}") for i in range(DIM)]
     norm = F.greatest(F.sqrt(sum(u * u for u in unit)), F.lit(1e-9))
     rows = rows.withColumn("_norm", norm)
@@ -207,10 +213,10 @@ def _starts(members: DataFrame, middle: DataFrame) -> DataFrame:
     return _factored(medians.unionByName(spatial)).select(*_PARAMS).unionByName(moments).withColumn("ld", F.lit(float("inf")))
 
 
-def _halves(members: DataFrame, params: DataFrame) -> DataFrame:
+def _halves(members: DataFrame, params: DataFrame, few: bool) -> DataFrame:
     """Members of each key and start with their distance d2 and its median q."""
-    far = _distance(members.join(params, "key"))
-    return far.join(far.groupBy("key", "start").agg(F.percentile_approx("d2", 0.5, ACCURACY).alias("q")), ["key", "start"])
+    far = _distance(members.join(_sent(params, few), "key"))
+    return far.join(_sent(far.groupBy("key", "start").agg(F.percentile_approx("d2", 0.5, ACCURACY).alias("q")), few), ["key", "start"])
 
 
 def _judged(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -220,15 +226,16 @@ def _judged(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...]) -> D
     rows = space.save(_vector(statistics(named)).drop("text", "_n_lines"))  # texts are read and split once
     good = rows.filter(~F.col("base_failed"))
     groups = _groups(spark, good, space)
-    members = good.join(groups.select("g", F.explode("keys").alias("key")), "g").select("key", *_COORDS)
+    few = groups.count() <= SMALL
+    members = good.join(_sent(groups.select("g", F.explode("keys").alias("key")), few), "g").select("key", *_COORDS)
     middle = space.save(members.groupBy("key").agg(*[F.percentile_approx(f"x{i}", 0.5, ACCURACY).alias(f"b{i}") for i in range(DIM)]))
-    members = space.save(members.join(middle, "key"))
+    members = space.save(members.join(_sent(middle, few), "key"))
 
     bare = members.drop(*[f"b{i}" for i in range(DIM)])
-    params = space.save(_starts(bare, middle))
+    params = space.save(_starts(bare, middle, few))
     ends = []
     for _ in range(STEPS):
-        new = _estimate(_halves(members, params).filter("d2 <= q"), FACTOR_HALF)
+        new = _estimate(_halves(members, params, few).filter("d2 <= q"), FACTOR_HALF)
         old = params.select("key", "start", F.col("ld").alias("_old"))
         new = space.save(new.join(old, ["key", "start"]).withColumn("_open", F.col("_old") - F.col("ld") > SETTLED).drop("_old"))
         ends.append(new.filter(~F.col("_open")).drop("_open"))
@@ -241,9 +248,9 @@ def _judged(spark: SparkSession, docs: DataFrame, columns: tuple[str, ...]) -> D
     # the smallest determinant; of equal ones the first start by name
     best = ended.groupBy("key").agg(F.min_by(F.struct(*[c for c in _PARAMS if c != "key"]), F.struct("ld", "start")).alias("b")).select("key", "b.*")
     # reweighting: all rows within the quantile, after a median distance above its chi-square value is scaled to it
-    near = _halves(members, best).filter(F.col("d2") * CHI_HALF / F.greatest("q", F.lit(CHI_HALF)) <= CHI_REWEIGHT)
+    near = _halves(members, best, few).filter(F.col("d2") * CHI_HALF / F.greatest("q", F.lit(CHI_HALF)) <= CHI_REWEIGHT)
     final = space.save(_estimate(near, FACTOR_REWEIGHT).drop("start", "ld"))
     space.drop(members, middle)
-    out = _distance(rows.join(groups.select("g", "key"), "g", "left").join(final, "key", "left"))
+    out = _distance(rows.join(_sent(groups.select("g", "key"), few), "g", "left").join(_sent(final, few), "key", "left"))
     out = out.withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= CHI_CUT))
