@@ -14,6 +14,7 @@ from labelloom.functions import text as T
 from labelloom.plans import pipelines as P
 from labelloom.sources import readers as R
 from labelloom.sources import writers as W
+from labelloom.storage import new_path, ready
 
 
 def _places(spec: str) -> list[int]:
@@ -31,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-o", "--output", help="folder for the result; standard output without it")
         return p
 
+    # an input "-" is standard input
     p = command("make_labels", "input")
     p.add_argument("-i", "--id-column", type=int, default=1)
     p.add_argument("-f", "--id-format")
@@ -81,9 +83,14 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def run(spark: SparkSession, argv: list[str], out=sys.stdout, err=sys.stderr) -> None:
+def run(spark: SparkSession, argv: list[str], out=sys.stdout, err=sys.stderr, stdin=None) -> None:
     a = parser().parse_args(argv)
 
+    ready(spark)
+    if getattr(a, "input", None) == "-":  # what comes in by standard input is the driver's
+        a.input = new_path(spark, "stdin")
+        spark.createDataFrame([(line.rstrip("\n"),) for line in (stdin or sys.stdin)], "value string").coalesce(1).write.text(a.input)
+
     def emit(df, as_json: bool) -> None:
         if a.output:
             (W.write_json if as_json else W.write_tsv)(df, a.output)
@@ -115,7 +122,7 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout, err=sys.stderr) ->
             info |= {"gazetteer": spark.read.parquet(a.gazetteer), "coordinates": True}
         if a.date or info or a.parse_and_sort:
             info["dates"] = a.date
-        emit(P.sort_labels(R.read_labels(spark, a.input), a.similarity, a.min_len, a.refine, a.consensus, a.quorum, a.parse_and_sort, a.id_format, **info), False)
+        emit(P.sorted_table(P.sort_labels(R.read_labels(spark, a.input), a.similarity, a.min_len, a.refine, a.consensus, a.quorum, a.parse_and_sort, a.id_format, **info)), False)
     elif a.command == "match_collecting_events":
         found, labels, events = P.match_events(R.read_labels(spark, a.labels), R.read_events(spark, a.events), tuple(a.fields.split(",")), a.method, a.scoring, a.date, a.persist, not a.no_text_search)
         emit(found, False)
@@ -131,10 +138,11 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout, err=sys.stderr) ->
         text = "".join(f"{r['statistic']}\tn={r['n']}\tmean={r['mean']:.3f}\tsd={r['sd']:.3f}\n" for r in stats.collect())  # three rows
         Path(a.log).write_text(text) if a.log else err.write(text)
     elif a.command == "subset_db":
-        df = S.with_position(spark.read.json(a.input, multiLine=True))
-        emit(S.subset_by_id(df, R.read_ids(spark, a.ids)), True)
+        emit(S.subset_by_id(R.json_rows(spark, a.input), R.read_ids(spark, a.ids)), True)
     elif a.command == "table_export":
-        emit(spark.read.json(a.input, multiLine=True), False)
+        keys = R.first_keys(spark, a.input)
+        if keys:
+            emit(R.json_rows(spark, a.input).orderBy("pos").select(*[F.col(f"`{k}`") for k in keys]), False)
 
 
 def main() -> None:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from labelloom.storage import ready
+
 DATE_TYPE = "struct<year:int,month:int,day:int,precision:int,century_known:boolean>"
 FOUND_TYPE = f"struct<start:{DATE_TYPE},end:{DATE_TYPE},span_start:int,span_end:int,verbatim:string>"
 
@@ -172,6 +174,7 @@ def find(text: str | None, ranks: list[list[Pattern]] | None = None) -> tuple |
 
 def find_date(text: Column, **tags) -> Column:
     """The best date of a text as ``FOUND_TYPE`` (null if none), in Arrow batches."""
+    ready()
     ranks = _ranks(tuple(patterns(**tags))) if tags else None
     names = ["year", "month", "day", "precision", "century_known"]
 
@@ -183,7 +186,7 @@ def find_date(text: Column, **tags) -> Column:
             rows.append({"start": dict(zip(names, f[0], strict=True)), "end": dict(zip(names, f[1], strict=True)), "span_start": f[2], "span_end": f[3], "verbatim": f[4]} if f else {"start": None, "end": None, "span_start": None, "span_end": None, "verbatim": None})
         return pd.DataFrame(rows, columns=["start", "end", "span_start", "span_end", "verbatim"]).astype({"span_start": "Int32", "span_end": "Int32"})
 
-    out = found(text)
+    out = found(F.when(text.rlike("[0-9]{2}"), text))  # only texts that can hold a year leave the JVM
     return F.when(out["start"].isNotNull(), out)
 
 
@@ -256,3 +259,29 @@ def before(a: Column, b: Column) -> Column:
     """Calendar order of dates of one precision."""
     key = [F.struct(x["year"], F.coalesce(x["month"], F.lit(0)), F.coalesce(x["day"], F.lit(0))) for x in (a, b)]
     return key[0] < key[1]
+
+
+def same(a: Column, b: Column) -> Column:
+    """Whether two dates agree in all fields, absent ones included."""
+    return F.forall(F.array(*[a[f].eqNullSafe(b[f]) for f in ("year", "month", "day", "precision", "century_known")]), lambda x: x)
+
+
+def date_range(a: Column, b: Column) -> Column:
+    """The range from the earlier to the later of two dates; an error if one is empty, or precision or century differ in kind."""
+    bad = F.when(is_empty(a) | is_empty(b), "empty date in a range").when(a["precision"] != b["precision"], "dates of different precision in a range").when(a["century_known"] != b["century_known"], "known and unknown century in a range")
+    out = F.struct(F.when(before(b, a), b).otherwise(a).alias("start"), F.when(before(b, a), a).otherwise(b).alias("end"))
+    return F.when(bad.isNotNull(), F.raise_error(bad).cast(f"struct<start:{DATE_TYPE},end:{DATE_TYPE}>")).otherwise(out)
+
+
+def is_empty(d: Column) -> Column:
+    return d.isNull() | d["year"].isNull()
+
+
+def is_one_date(r: Column) -> Column:
+    """Whether a range is a single date."""
+    return same(r["start"], r["end"])
+
+
+def date_json(d: Column) -> Column:
+    """A date as JSON; absent fields are left out."""
+    return F.to_json(F.struct(*[d[f].alias(f) for f in ("year", "month", "day")], (~d["century_known"]).alias("century_unknown")))

@@ -142,8 +142,10 @@ def clean_str(s: Column) -> Column:
     return F.replace(F.replace(bare, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
 
 
-def id_formatter(spec: str, number: Column) -> Column:
-    """``prefix:width`` and a number: the prefix and the zero-padded number."""
+def id_formatter(spec, number: Column) -> Column:
+    """``prefix:width`` and a number: the prefix and the zero-padded number.  A function of the number may stand for the spec."""
+    if callable(spec):
+        return spec(number)
     prefix, _, width = spec.rpartition(":")
     return F.concat(F.lit(prefix), F.format_string(f"%0{int(width)}d", number.cast("long")))
 
@@ -169,6 +171,11 @@ def is_float(s: Column) -> Column:
     return s.try_cast("double").isNotNull()
 
 
+def is_range(start: Column, end: Column) -> Column:
+    """Whether two places differ, so that they span more than one."""
+    return start != end
+
+
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Whether two closed intervals share a point."""
     return F.least(a1, b1) >= F.greatest(a0, b0)
@@ -221,3 +228,26 @@ def range_reader(spec: str) -> list[int]:
         else:
             out.extend(range(ends[0], ends[1] - 1, -1))
     return out
+
+
+def ngram_search(tokens: Column, ngrams_: Column, allowance=mismatch_allowance) -> Column:
+    """The n-grams (arrays of tokens) in which every token has a near one, with their distance in the best rotation, nearest first."""
+
+    def near(t: Column, g: Column) -> Column:
+        return F.exists(g, lambda x: F.levenshtein(t, x) <= allowance(t))
+
+    fits = F.filter(ngrams_, lambda g: F.forall(tokens, lambda t: near(t, g)))
+    return F.array_sort(F.transform(fits, lambda g: F.struct(rotation_distance(tokens, F.array_join(g, " ")).alias("distance"), g.alias("ngram"))))
+
+
+SPECIAL = "<>=\\-\\s~"
+
+
+def mask_special_chars(s: Column) -> Column:
+    """``struct<masked, originals>``: characters that mean something to aligners become ~ and are remembered."""
+    return F.struct(F.regexp_replace(s, f"[{SPECIAL}]", "~").alias("masked"), F.regexp_extract_all(s, F.lit(f"([{SPECIAL}])"), 1).alias("originals"))
+
+
+def unmask_special_chars(masked: Column, originals: Column) -> Column:
+    """The text before ``mask_special_chars``."""
+    return F.array_join(F.zip_with(F.split(masked, "~", -1), originals, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import geo as G
 from labelloom.functions import text as T
+from labelloom.storage import written
 
 
 def ngrams(texts: DataFrame, max_n: int = 4) -> DataFrame:
@@ -21,14 +22,18 @@ def ngrams(texts: DataFrame, max_n: int = 4) -> DataFrame:
     return texts.select("ID", words.alias("w")).select("ID", F.explode(grams).alias("g")).select("ID", "g.*")
 
 
-def find_places(texts: DataFrame, gazetteer: DataFrame, max_n: int = 4) -> DataFrame:
+def find_places(texts: DataFrame, gazetteer: DataFrame, max_n: int | None = None) -> DataFrame:
     """ID, geoname_id, name, country, lat, lng, gram.
 
+    N-grams are as long as the gazetteer's longest name unless ``max_n`` says less.
+
     The longest n-grams with any hit count.  Hits without a country go if others have
     one.  Of the countries the one with the most general hit wins, and of its hits
     the most special one is the place.
     """
     places = gazetteer.withColumn("gram", T.simplify(F.col("name"))).withColumn("rank", G.feature_rank(F.col("fcl"))).withColumn("country", F.coalesce("country", F.lit("no_country")))
+    if max_n is None:
+        max_n = places.agg(F.max(F.size(F.split("gram", " "))).alias("n")).first()["n"] or 1
     hits = ngrams(texts, max_n).join(places, "gram")
     longest = hits.groupBy("ID").agg(F.max("n").alias("n"))
     hits = hits.join(longest, ["ID", "n"])
@@ -42,10 +47,17 @@ def by_country(hits: DataFrame) -> DataFrame:
     return hits.groupBy(F.coalesce("country", F.lit("no_country")).alias("country")).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("name")).alias("places"))
 
 
-def hierarchy(gazetteer: DataFrame, depth: int = 8) -> DataFrame:
-    """geoname_id, path: ids from the place to its outermost parent, ``depth`` steps at most."""
-    up = gazetteer.select(F.col("geoname_id").alias("_id"), F.col("parent_id").alias("_up"))
-    out = gazetteer.select("geoname_id", F.array("geoname_id").alias("path"), F.col("parent_id").alias("next"))
-    for _ in range(depth):
-        out = out.join(up, out["next"] == up["_id"], "left").select("geoname_id", F.when(F.col("_id").isNotNull() & ~F.array_contains("path", F.col("_id")), F.concat("path", F.array("_id"))).otherwise(F.col("path")).alias("path"), F.when(~F.coalesce(F.array_contains("path", F.col("_up")), F.lit(False)), F.col("_up")).alias("next"))
-    return out.select("geoname_id", "path")
+def hierarchy(gazetteer: DataFrame) -> DataFrame:
+    """geoname_id, path: ids from the place to its outermost parent; a ring of parents ends where it meets itself.
+
+    Paths double in each round: a path that ends at x is continued by the path of x.
+    """
+    paths = written(gazetteer.select("geoname_id", F.array("geoname_id").alias("path"), F.col("parent_id").alias("next")), "paths")
+    while not paths.filter("next is not null").isEmpty():
+        ahead = paths.select(F.col("geoname_id").alias("_id"), F.col("path").alias("_path"), F.col("next").alias("_next"))
+        joined = paths.join(ahead, paths["next"] == ahead["_id"], "left")
+        ring = F.coalesce(F.arrays_overlap("path", "_path"), F.lit(False))
+        # of a ring, what is not on the path yet is taken up to the first place that is
+        new = F.when(ring, F.slice("_path", F.lit(1), F.size("_path") - F.size(F.filter("_path", lambda x: F.array_contains("path", x))))).otherwise(F.coalesce("_path", F.array().cast("array<long>")))
+        paths = written(joined.select("geoname_id", F.concat("path", new).alias("path"), F.when(~ring, F.col("_next")).alias("next")), "paths")
+    return paths.select("geoname_id", "path")

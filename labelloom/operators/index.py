@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions import text as T
+from labelloom.storage import written
 
 
 @dataclass(frozen=True)
@@ -38,18 +39,38 @@ class Index:
         self.postings.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
         self.max_scores.write.mode("overwrite").parquet(f"{path}/max_scores")
         self.texts.write.mode("overwrite").parquet(f"{path}/texts")
+        o = self.options
+        row = (o.method, o.min_len, list(o.keys) if o.keys else None, dict(o.masks))
+        self.texts.sparkSession.createDataFrame([row], "method int, min_len int, keys array<string>, masks map<string,string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/options")
 
     @staticmethod
     def read(spark, path: str, options: Options | None = None) -> Index:
-        return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "max_scores", "texts")], options or Options())
+        """The index as it was written, its options included."""
+        if options is None:
+            r = spark.read.parquet(f"{path}/options").first()
+            options = Options(r["method"], r["min_len"], tuple(r["keys"]) if r["keys"] else None, dict(r["masks"] or {}))
+        return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "max_scores", "texts")], options)
 
+    def saved(self) -> Index:
+        """The index from tables in the shared folder, so that searches compute nothing of it again."""
+        return Index(written(self.postings, "postings"), written(self.max_scores, "max_scores"), self.texts, self.options)
 
-def token_counts(df: DataFrame, options: Options) -> DataFrame:
-    """ID, token, tf: one shuffle, after partial counts."""
+
+def _tokens(df: DataFrame, options: Options) -> Column:
     keys = options.keys or tuple(c for c in df.columns if c not in ("ID", "pos"))
     tokens = [T.index_tokens(T.mask(F.coalesce(F.col(k).cast("string"), F.lit("")), options.masks.get(k)), options.min_len) for k in keys]
-    all_tokens = F.concat(*tokens) if len(tokens) > 1 else tokens[0]
-    return df.select("ID", F.explode(all_tokens).alias("token")).groupBy("ID", "token").agg(F.count("*").alias("tf"))
+    return F.concat(*tokens) if len(tokens) > 1 else tokens[0]
+
+
+def token_counts(df: DataFrame, options: Options) -> DataFrame:
+    """ID, token, tf: one shuffle, of the tokens of each row by ID, so that sums by ID need no other."""
+    rows = df.select("ID", _tokens(df, options).alias("t")).repartition("ID")
+    return rows.select("ID", F.explode("t").alias("token")).groupBy("ID", "token").agg(F.count("*").alias("tf"))
+
+
+def document_counts(df: DataFrame, options: Options) -> DataFrame:
+    """token, df: number of IDs with the token, reduced before the shuffle (IDs are distinct in a collection)."""
+    return df.select(F.explode(F.array_distinct(_tokens(df, options))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
 def make_index(df: DataFrame, options: Options = Options()) -> Index:  # noqa: B008
@@ -57,10 +78,10 @@ def make_index(df: DataFrame, options: Options = Options()) -> Index:  # noqa: B
     if options.method == 1:
         postings = counts.withColumn("w", F.col("tf").cast("double"))
     else:
-        n = df.select(F.count_distinct("ID").alias("n"))
-        df_counts = counts.groupBy("token").agg(F.count("*").alias("df"))
-        raw = counts.join(df_counts, "token").crossJoin(F.broadcast(n))  # n is one row
-        raw = raw.withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+        # written, so that its size is known and Spark broadcasts it where it is small, which keeps the partitioning by ID
+        df_counts = written(document_counts(df, options), "document_counts")
+        n = df.select(F.count_distinct("ID").alias("n")).first()["n"]
+        raw = counts.join(df_counts, "token").withColumn("raw", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
         norm = raw.groupBy("ID").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
         postings = raw.join(norm, "ID").select("ID", "token", "tf", (F.col("raw") / F.col("norm")).alias("w"))
     max_scores = postings.groupBy("ID").agg(F.sum(F.col("tf") * F.col("w")).alias("max_score"))

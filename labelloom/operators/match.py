@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions import dates as D
+from labelloom.storage import written
 
 from .index import Index
 from .search import search
@@ -42,17 +43,18 @@ def match_events(labels: DataFrame, index: Index, dates: DataFrame | None = None
     if dates is None:
         return search(queries, index, scoring, fuzzy).select(F.col("query_id").alias("label_id"), F.col("ID").alias("event_id"), "score")
     found = queries.select("query_id", D.find_date(F.col("query")).alias("f"))
-    dated = found.filter("f is not null").select("query_id", F.struct("f.start", "f.end").alias("range"))
-    near = search_by_date(dated, dates, True, date_mode)
+    dated = written(found.filter("f is not null").select("query_id", F.struct("f.start", "f.end").alias("range")), "dated")
     if not text_search:
+        near = search_by_date(dated, dates, True, date_mode)
         return near.select(F.col("query_id").alias("label_id"), F.col("ID").alias("event_id"), F.lit(1.0).alias("score"))
-    every = search(queries, index, scoring, fuzzy)
-    undated = every.join(dated.select("query_id"), "query_id", "left_anti")
-    restricted = every.join(near, ["query_id", "ID"], "left_semi")
-    hits = undated.unionByName(restricted)
+    # what the text finds is bounded by it already: both ranges go along, no table of all pairs of a year
+    every = written(search(queries, index, scoring, fuzzy).join(dated.withColumn("_dated", F.lit(True)), "query_id", "left"), "matches")
+    both = every.filter("_dated").join(dates.select("ID", F.col("range").alias("event_range")), "ID")
+    restricted = both.filter(D.overlaps(F.col("range"), F.col("event_range"), True, date_mode)).select("query_id", "ID", "score")
+    hits = every.filter("_dated is null").select("query_id", "ID", "score").unionByName(restricted)
     if persist:
-        lost = dated.select("query_id").join(restricted.select("query_id").distinct(), "query_id", "left_anti")
-        hits = hits.unionByName(every.join(lost, "query_id", "left_semi"))
+        lost = every.filter("_dated").join(restricted.select("query_id").distinct(), "query_id", "left_anti")
+        hits = hits.unionByName(lost.select("query_id", "ID", "score"))
     return hits.select(F.col("query_id").alias("label_id"), F.col("ID").alias("event_id"), "score")
 
 

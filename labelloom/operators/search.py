@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions import text as T
+from labelloom.storage import written
 
 from .index import Index, Options
 
@@ -79,6 +80,10 @@ def search(queries: DataFrame, index: Index, scoring: str = "w", fuzzy: bool = T
     ``scoring``: ``w`` weight of matches over the document's highest score, times
     the share of query tokens matched; ``l`` similarity of the texts; ``w+l`` the
     product.  ``condition`` restricts the documents and changes no weight.
+
+    With a threshold t, a score by weight needs a match at ceil(t * m) of a query's m places,
+    so at one of any m - ceil(t * m) + 1 of them: only the documents found by the rarest of
+    these are scored, and the postings of common tokens are not expanded.
     """
     if scoring not in ("w", "l", "w+l"):
         raise ValueError(f"unknown scoring: {scoring}")
@@ -88,16 +93,21 @@ def search(queries: DataFrame, index: Index, scoring: str = "w", fuzzy: bool = T
         postings = postings.join(index.texts.filter(condition).select("ID"), "ID", "left_semi")
     if fuzzy:
         pairs = token_pairs(tokens.select("q").distinct(), postings.select("token").distinct(), strategy, allowance)
-        matches = tokens.join(pairs, "q").join(postings, "token")
-        if exclude_self:
-            matches = matches.filter(F.col("query_id") != F.col("ID"))
+        near = tokens.join(pairs, "q")
+    else:
+        near = tokens.withColumns({"token": F.col("q"), "identity": F.lit(1.0)})
+    own = F.col("query_id") != F.col("ID") if exclude_self else F.lit(True)
+    if threshold is not None and threshold > 0 and scoring != "l":
+        near = written(near, "near")
+        matches = near.join(_candidates(near, postings, threshold).filter(own), "query_id").join(postings, ["token", "ID"])
+    else:
+        matches = near.join(postings, "token").filter(own)
+    if fuzzy:
         # the best token of a document for a place in the query: a partial aggregate before the shuffle
         best = matches.groupBy("query_id", "qpos", "ID").agg(F.min(F.struct((-F.col("identity")).alias("i"), (-F.col("w")).alias("w"), "token", "tf", "m")).alias("b"))
         chosen = best.select("query_id", "qpos", "ID", "b.token", "b.tf", "b.m", (-F.col("b.w")).alias("w"), (-F.col("b.i")).alias("identity"))
     else:
-        chosen = tokens.join(postings, F.col("q") == F.col("token")).select("query_id", "qpos", "ID", "token", "tf", "m", "w", F.lit(1.0).alias("identity"))
-        if exclude_self:
-            chosen = chosen.filter(F.col("query_id") != F.col("ID"))
+        chosen = matches.select("query_id", "qpos", "ID", "token", "tf", "m", "w", "identity")
     # a document's occurrences of a token are used up in query order
     used = F.row_number().over(Window.partitionBy("query_id", "ID", "token").orderBy("qpos"))
     counted = chosen.withColumn("used", used).filter("used <= tf")
@@ -112,8 +122,22 @@ def search(queries: DataFrame, index: Index, scoring: str = "w", fuzzy: bool = T
     return out if threshold is None else out.filter(F.col("score") >= threshold)
 
 
-def self_similarity(df: DataFrame, options: Options, threshold: float = 0.8, scoring: str = "w", strategy: str = "auto") -> DataFrame:
+def _candidates(near: DataFrame, postings: DataFrame, threshold: float) -> DataFrame:
+    """query_id, ID: documents with a match at one of the rarest places of a query that a score of ``threshold`` must touch.
+
+    ``near``: query_id, qpos, m, token, of each place and token near it.
+    """
+    df = written(postings.groupBy("token").agg(F.count("*").alias("df")), "frequencies")
+    places = near.join(df, "token").groupBy("query_id", "qpos").agg(F.first("m").alias("m"), F.sum("df").alias("hits"))
+    # places without any near token come first in the order of rarity and find nothing
+    order = Window.partitionBy("query_id").orderBy("hits", "qpos")
+    ranked = places.withColumn("r", F.row_number().over(order) + F.col("m") - F.count("*").over(Window.partitionBy("query_id")))
+    rare = ranked.filter(F.col("r") <= F.col("m") - F.ceil(F.lit(threshold) * F.col("m") - 1e-9) + 1).select("query_id", "qpos")
+    return near.join(rare, ["query_id", "qpos"]).select("query_id", "token").distinct().join(postings.select("token", "ID"), "token").select("query_id", "ID").distinct()
+
+
+def self_similarity(df: DataFrame, options: Options, threshold: float = 0.8, scoring: str = "w", strategy: str = "auto", fuzzy: bool = True) -> DataFrame:
     """query_id, ID, score: every text as a query for all others."""
     from .index import make_index
 
-    return search(df.select(F.col("ID").alias("query_id"), F.col("text").alias("query")), make_index(df, options), scoring, threshold=threshold, strategy=strategy, exclude_self=True)
+    return search(df.select(F.col("ID").alias("query_id"), F.col("text").alias("query")), make_index(df, options).saved(), scoring, fuzzy, threshold=threshold, strategy=strategy, exclude_self=True)

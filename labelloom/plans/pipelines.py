@@ -69,6 +69,16 @@ def sort_labels(labels: DataFrame, threshold: float = 0.8, min_len: int = 3, ref
     return rows.join(parse_info(source, **info), "ID") if info else rows
 
 
+#: Columns of a table of sorted labels, and where they come from.
+SORTED = {"label.ID": "ID", "label.v": "text", "group.ID": "group_id", "geo.v": "geo_v", "geo.i": "geo_i", "date.v": "date_v", "date.i": "date_i", "collector.v": "collector_v", "collector.i": "collector_i", "consensus.text": "consensus"}
+
+
+def sorted_table(rows: DataFrame) -> DataFrame:
+    """``sort_labels`` with the columns of its table, empty where nothing was read, in the order of group and label."""
+    cells = [(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")).alias(k) for k, c in SORTED.items()]
+    return rows.select(*cells, *["pos"] * ("pos" in rows.columns)).orderBy("`group.ID`", *["pos"] * ("pos" in rows.columns), "`label.ID`")
+
+
 def match_events(labels: DataFrame, events: DataFrame, fields: tuple[str, ...] = ("text",), method: int = 1, scoring: str = "w", use_dates: bool = False, persist: bool = False, text_search: bool = True, date_mode: str = "reference") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Matches with both sides' fields, labels without a match, events without a match."""
     index = make_index(events, Options(method, 3, fields))

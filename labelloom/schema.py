@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType, StructField, StructType
 
@@ -23,6 +23,15 @@ def with_position(df: DataFrame) -> DataFrame:
     return df if "pos" in df.columns else df.withColumn("pos", F.monotonically_increasing_id())
 
 
+def file_position(argument: int = 0) -> Column:
+    """Position of a row of a file: place of the argument, path, place in the file.
+
+    Spark reads files in an order of its own, large ones first, so its row numbers alone do not
+    follow the arguments.
+    """
+    return F.struct(F.lit(argument).alias("argument"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def deduplicated(df: DataFrame) -> DataFrame:
     """One row for each ID: the last row's values at the first row's position.  Null texts become empty."""
     df = with_position(df)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,11 +12,51 @@ from pyspark.sql.types import StructType
 from labelloom import schema as S
 from labelloom.functions import text as T
 from labelloom.operators.index import Index, Options
+from labelloom.storage import numbered as number_rows
+
+
+def _paths(path) -> list[str]:
+    return [path] if isinstance(path, str) else list(path)
+
+
+def is_array(spark: SparkSession, path: str) -> bool:
+    """Whether the first character that is not white space opens an array."""
+    first = spark.read.text(path).filter(F.trim("value") != "").first()
+    return first is not None and first["value"].lstrip("\ufeff \t").startswith("[")
+
+
+def json_rows(spark: SparkSession, path, schema: StructType | None = None) -> DataFrame:
+    """Objects of JSON lines (split over tasks) or of JSON arrays (a task for each file), in the order of the paths, with pos.
+
+    What is no JSON object is an error, not a row of nulls.
+    """
+    parts = []
+    for i, p in enumerate(_paths(path)):
+        reader = spark.read.schema(schema) if schema is not None else spark.read
+        df = reader.json(p, multiLine=is_array(spark, p), mode="FAILFAST")
+        parts.append(df.withColumn("pos", S.file_position(i)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
 
 
 def read_json(spark: SparkSession, path, schema: StructType) -> DataFrame:
-    """A JSON array, or JSON lines; other keys are ignored, a later duplicate ID wins."""
-    return S.deduplicated(spark.read.schema(schema).json(path, multiLine=True))
+    """JSON lines or a JSON array; other keys are ignored, a later duplicate ID wins."""
+    return S.deduplicated(json_rows(spark, path, schema))
+
+
+def first_keys(spark: SparkSession, path: str) -> list[str]:
+    """Keys of the first object, in order; none for an empty file."""
+    text, decoder = "", json.JSONDecoder()
+    for row in spark.read.text(path).toLocalIterator():
+        text = (text + row["value"] + "\n").lstrip("\ufeff \t\r\n[")
+        if text:
+            try:
+                return list(decoder.raw_decode(text)[0])
+            except ValueError:
+                continue
+    return []
 
 
 def read_labels(spark: SparkSession, path) -> DataFrame:
@@ -27,7 +68,7 @@ def read_events(spark: SparkSession, path) -> DataFrame:
 
 
 def read_collectors(spark: SparkSession, path) -> DataFrame:
-    return S.with_position(spark.read.schema(S.COLLECTOR).json(path, multiLine=True))
+    return json_rows(spark, path, S.COLLECTOR)
 
 
 def stream_labels(spark: SparkSession, path) -> DataFrame:
@@ -58,10 +99,13 @@ def read_table(spark: SparkSession, path, columns: dict[str, list[int] | int], s
     ``columns``: target field to source places (from 0); several are joined, empty ones left out.
     A generated ID replaces one from the table.
     """
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("pos"), F.col("_metadata.file_block_start").alias("_at"), F.col("_metadata.file_path").alias("_f"))
+    parts = [spark.read.text(p).select("value", S.file_position(i).alias("pos")) for i, p in enumerate(_paths(path))]
+    lines = parts[0]
+    for p in parts[1:]:
+        lines = lines.union(p)
     if skip_first:
-        first = lines.filter("_at = 0").groupBy("_f").agg(F.min("pos").alias("pos"))
-        lines = lines.join(F.broadcast(first), ["_f", "pos"], "left_anti")  # a row for each file
+        first = lines.filter("pos.block = 0").groupBy(F.col("pos.argument").alias("_a"), F.col("pos.file").alias("_f")).agg(F.min("pos").alias("_p"))
+        lines = lines.join(F.broadcast(first), F.col("pos") == F.col("_p"), "left_anti")  # a row for each file
     cells = F.split("value", re.escape(sep))
 
     def value(places: list[int] | int, name: str) -> Column:
@@ -77,14 +121,8 @@ def read_table(spark: SparkSession, path, columns: dict[str, list[int] | int], s
 
 
 def numbered(df: DataFrame, id_format: str, start: int = 1) -> DataFrame:
-    """``df`` (with pos) and gapless formatted IDs in order of pos: partition sizes first, then places inside them."""
-    from pyspark.sql import Window
-
-    part = F.shiftright("pos", 33)
-    sizes = df.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    offsets = sizes.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_o")
-    rows = df.withColumn("_p", part).join(offsets, "_p").withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("pos")))
-    return rows.withColumn("ID", T.id_formatter(id_format, F.col("_o") + F.col("_i") + (start - 1))).drop("_p", "_o", "_i")
+    """``df`` (with pos) and gapless formatted IDs in order of pos."""
+    return number_rows(df, "pos", "_i").withColumn("ID", T.id_formatter(id_format, F.col("_i") + start)).drop("_i")
 
 
 def read_labels_table(spark: SparkSession, path, id_column: int | None = 0, text_column: int = 1, id_format: str | None = None, **options) -> DataFrame:
@@ -116,19 +154,26 @@ def read_collectors_table(spark: SparkSession, path) -> DataFrame:
         raise ValueError(f"unknown columns {sorted(unknown)}, missing columns {sorted(missing)}")
     first = F.coalesce("firstname", F.lit("")) if "firstname" in raw.columns else F.lit("")
     data = metadata(F.coalesce("metadata", F.lit(""))) if "metadata" in raw.columns else F.create_map().cast("map<string,string>")
-    return raw.select("ID", "name", first.alias("firstname"), data.alias("metadata"))
+    return raw.select("ID", "name", first.alias("firstname"), data.alias("metadata"), S.file_position().alias("pos"))
+
+
+def _tsv(spark: SparkSession, paths) -> DataFrame:
+    """Tables with a header in each file, in the order of the paths, with pos."""
+    parts = [spark.read.csv(p, sep="\t", header=True, quote="").withColumn("pos", S.file_position(i)) for i, p in enumerate(_paths(paths))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
 
 
 def read_sorted_labels(spark: SparkSession, path) -> DataFrame:
     """label_id, group_id of sorted labels; the last row of a label counts."""
-    raw = spark.read.csv(path, sep="\t", header=True, quote="").withColumn("pos", F.monotonically_increasing_id())
-    return raw.groupBy(F.col("`label.ID`").alias("label_id")).agg(F.max_by("`group.ID`", "pos").alias("group_id"))
+    return _tsv(spark, path).groupBy(F.col("`label.ID`").alias("label_id")).agg(F.max_by("`group.ID`", "pos").alias("group_id"))
 
 
 def read_matches(spark: SparkSession, paths) -> DataFrame:
     """label_id, event_id, score, pos of one or more match files."""
-    raw = spark.read.csv(paths, sep="\t", header=True, quote="").withColumn("pos", F.monotonically_increasing_id())
-    return raw.select(F.col("`label.ID`").alias("label_id"), F.col("`CE.ID`").alias("event_id"), F.col("score").cast("double").alias("score"), "pos")
+    return _tsv(spark, paths).select(F.col("`label.ID`").alias("label_id"), F.col("`CE.ID`").alias("event_id"), F.col("score").cast("double").alias("score"), "pos")
 
 
 def read_ids(spark: SparkSession, path) -> DataFrame:
@@ -149,3 +194,8 @@ def read_expressions(spark: SparkSession, path) -> list[str]:
 
 def read_index(spark: SparkSession, path: str, options: Options | None = None) -> Index:
     return Index.read(spark, path, options)
+
+
+def read_dates(spark: SparkSession, path: str) -> DataFrame:
+    """The date index (ID, range) that ``write_dates`` wrote."""
+    return spark.read.parquet(path)

@@ -25,8 +25,8 @@ def escaped(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n"))
 
 
-def tsv_lines(df: DataFrame) -> DataFrame:
-    """``value``: rows as TSV; nulls are empty, doubles have three decimals."""
+def _cells(df: DataFrame) -> list[Column]:
+    """Columns as TSV cells; nulls are empty, doubles have three decimals."""
     kinds = dict(df.dtypes)
 
     def cell(c: str) -> Column:
@@ -34,11 +34,19 @@ def tsv_lines(df: DataFrame) -> DataFrame:
             return F.coalesce(F.format_string("%.3f", F.col(f"`{c}`").cast("double")), F.lit(""))
         return escaped(F.coalesce((F.to_json(f"`{c}`") if kinds[c].startswith(("array", "map", "struct")) else F.col(f"`{c}`").cast("string")), F.lit("")))
 
-    return df.select(F.concat_ws("\t", *[cell(c) for c in df.columns]).alias("value"))
+    return [cell(c).alias(c) for c in df.columns]
+
+
+def tsv_lines(df: DataFrame) -> DataFrame:
+    """``value``: rows as TSV."""
+    return df.select(F.concat_ws("\t", *_cells(df)).alias("value"))
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
-    tsv_lines(df.drop("pos")).write.mode("overwrite").text(path)
+    """A folder of TSV files, each with the header."""
+    df = df.drop("pos")
+    plain = {"sep": "\t", "quote": "", "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.select(*_cells(df)).write.mode("overwrite").csv(path, header=True, **plain)
 
 
 def tsv_table(df: DataFrame):

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from labelloom.operators import match as M
 from labelloom.operators.index import Index
+from labelloom.storage import ready
 
 
 def match_stream(labels: DataFrame, index: Index, target: str, checkpoint: str, dates: DataFrame | None = None, **options) -> StreamingQuery:
@@ -15,6 +16,7 @@ def match_stream(labels: DataFrame, index: Index, target: str, checkpoint: str,
     A batch is written to a folder of its own number in overwrite mode, so a batch
     repeated after a failure leaves its rows once.
     """
+    ready(index.texts.sparkSession)
 
     def each(batch: DataFrame, number: int) -> None:
         M.match_events(batch, index, dates, **options).write.mode("overwrite").parquet(f"{target}/batch={number}")

@@ -143,3 +143,23 @@ def test_knee_and_split():
     parts = C.split(lines)
     assert len({tuple(parts[:4]), tuple(parts[4:])}) <= 2 and C.split(lines[:5]) == [0] * 5
     assert C.aligned_consensus(["abcd", "abxd", "abcd", "bcd"]) == "abcd"
+
+
+def test_ranges_and_predicates_of_dates(spark):
+    lit = lambda y, m=None, d=None, known=True: D.date(F.lit(y), F.lit(m), F.lit(d), F.lit(known))
+    a, b = lit(1936, 3, 5), lit(1935, 12, 1)
+    row = spark.range(1).select(D.date_range(a, b).alias("r"), D.same(a, a).alias("same"), D.same(a, b).alias("other"), D.is_empty(lit(None)).alias("empty"), D.is_one_date(F.struct(a.alias("start"), a.alias("end"))).alias("one"), D.date_json(a).alias("j")).first()
+    assert (row.r.start.year, row.r.end.year) == (1935, 1936) and row.same and not row.other and row.empty and row.one
+    assert row.j == '{"year":1936,"month":3,"day":5,"century_unknown":false}'
+    for bad in (lit(1936), lit(36, 1, 1, False), lit(None)):
+        with pytest.raises(Exception, match="range"):
+            spark.range(1).select(D.date_range(a, bad).alias("r")).collect()
+
+
+def test_ngram_search_and_masks(spark):
+    df = spark.createDataFrame([(["dire", "daoua"], [["daoua", "dire"], ["dira", "daoua"], ["other", "place"]], "a<b -c~")], "t array<string>, g array<array<string>>, s string")
+    m = T.mask_special_chars(F.col("s"))
+    row = df.select(T.ngram_search(F.col("t"), F.col("g")).alias("n"), m["masked"].alias("m"), T.unmask_special_chars(m["masked"], m["originals"]).alias("s"), T.is_range(F.lit(1), F.lit(2)).alias("r")).first()
+    assert [x.ngram for x in row.n] == [["daoua", "dire"], ["dira", "daoua"]] and row.n[0].distance == 0.0
+    assert row.m == "a~b~~c~" and row.s == "a<b -c~" and row.r
+    assert df.select(T.id_formatter(lambda n: F.concat(F.lit("x"), n), F.lit(3)).alias("v")).first().v == "x3"

@@ -113,6 +113,19 @@ def test_self_score_and_range(spark):
     assert all(r.query_id != r.ID for r in self_similarity(labels(spark, texts), Options(2, 3), 0.0).collect())
 
 
+def test_threshold_finds_the_same(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcd") for _ in range(r.randint(3, 8))) for _ in range(50)]
+    docs = [" ".join(r.choice(words) for _ in range(r.randint(1, 12))) for _ in range(60)]
+    docs += [" ".join(w + r.choice(["", "", "x"]) for w in d.split()) for d in docs[:25]]
+    lab = labels(spark, docs)
+    for options in (Options(1, 3), Options(2, 3)):
+        whole = {(x.query_id, x.ID): round(x.score, 9) for x in self_similarity(lab, options, 0.0).collect()}
+        for t in (0.2, 0.5, 0.8):
+            got = {(x.query_id, x.ID): round(x.score, 9) for x in self_similarity(lab, options, t).collect()}
+            assert got == {k: v for k, v in whole.items() if v >= t} and len(got) > 5
+
+
 def test_filter_changes_no_weight(spark):
     docs = ["aaa bbb", "aaa ccc"]
     assert score(spark, docs, "aaa", condition=F.col("ID") == "L1") == {"L1": score(spark, docs, "aaa")["L1"]}
@@ -123,8 +136,10 @@ def test_index_round_trip(spark, tmp_path):
 
     index = make_index(labels(spark, ["aaa bbb", "bbb"]).select("ID", "text"), Options(2, 3))
     index.write(str(tmp_path))
-    again = Index.read(spark, str(tmp_path), index.options)
-    assert sorted(index.postings.collect()) == sorted(again.postings.collect())
+    again = Index.read(spark, str(tmp_path))
+    assert sorted(index.postings.collect()) == sorted(again.postings.collect()) and again.options == index.options
+    own = search(queries(spark, "aaa bbb xx"), again).filter("ID = 'L0'").first()
+    assert abs(own.score - 1) < 1e-9  # the shortest token of the options is known again
 
 
 def plain_leaders(n, edges):
@@ -182,6 +197,79 @@ def test_names(spark):
     assert [r.place for r in N.find_entities(spark.createDataFrame([("t", "in Mus. Berl. 12")], "ID string, text string"), m).collect()] == [1]
 
 
+def test_names_with_errors_and_common_words(spark):
+    c = spark.createDataFrame([(f"c{i}", f"Collector#{i:05}", "") for i in range(40)] + [("w", "Walz", "Anna"), ("m", "van der Meer", "")], "ID string, name string, firstname string")
+    t = spark.createDataFrame([("t1", "leg. collector#00007 and Wals"), ("t2", "ANNA WALS, van der Mer"), ("t3", "walzer"), ("t4", "collector 00007"), ("t5", "")], "ID string, text string")
+    assert {(r.ID, r.collector_id) for r in N.find_names(t, c).collect()} == {("t1", "c7")}
+    got = {(r.ID, r.collector_id): (r.start, r.end, r.score) for r in N.find_names(t, c, fuzzy=True).collect()}
+    assert got[("t2", "w")] == (0, 9, 8) and got[("t2", "m")] == (11, 22, 11) and got[("t1", "w")] == (25, 29, 3)
+    assert got[("t1", "c7")] == (5, 20, 15) and ("t3", "w") not in got and ("t4", "c7") in got
+    only = N.find_collectors(t, c, search_rule=lambda df: F.col("ID") == "w", fuzzy=True)
+    assert {n.collector_id for r in only.collect() for n in r.names} == {"w"}
+
+
+def test_hierarchy_of_any_depth(spark):
+    rows = [(i, i - 1 if i else None) for i in range(40)] + [(100, 102), (101, 100), (102, 101), (103, 101), (104, 999)]
+    g = spark.createDataFrame(rows, "geoname_id long, parent_id long")
+    got = {r.geoname_id: r.path for r in Z.hierarchy(g).collect()}
+    assert got[39] == list(range(39, -1, -1)) and got[0] == [0] and got[104] == [104]
+    assert got[100] == [100, 102, 101] and got[103][:3] == [103, 101, 100] and set(got[103]) == {103, 101, 100, 102}
+
+
+def test_long_place_names(spark):
+    g = spark.createDataFrame([(1, "old mill near the great river bend", "X", "P", 0.0, 0.0, None)], "geoname_id long, name string, country string, fcl string, lat double, lng double, parent_id long")
+    t = spark.createDataFrame([("a", "at Old Mill near the Great River Bend, 1936")], "ID string, text string")
+    assert [r.geoname_id for r in Z.find_places(t, g).collect()] == [1]
+
+
+def plain_silhouette(dist, own):
+    out = []
+    for i in range(len(own)):
+        same = [dist[i][j] for j in range(len(own)) if own[j] == own[i] and j != i]
+        if not same:
+            out.append(0.0)
+            continue
+        a = sum(same) / len(same)
+        b = min(sum(dist[i][j] for j in range(len(own)) if own[j] == c) / sum(own[j] == c for j in range(len(own))) for c in set(own) if c != own[i])
+        out.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    return sum(out) / len(out)
+
+
+def test_medoids_and_silhouette():
+    import itertools
+
+    import numpy as np
+
+    lines = ["museum berlin", "museum berlim", "musem berlin", "forest edge", "forest edgy", "fores edge", "river", "rivers", "a river"]
+    dist = C.distances(lines)
+    assert all(abs(dist[i, j] - C.edit_distance(a, b) / max(len(a), len(b))) < 1e-12 for i, a in enumerate(lines) for j, b in enumerate(lines))
+    for k in (1, 2, 3):
+        own, inertia = C.medoids(dist, k)
+        best = min(sum(min(dist[i, m] for m in ms) for i in range(len(lines))) for ms in itertools.combinations(range(len(lines)), k))
+        assert abs(inertia - best) < 1e-9 and len(set(own.tolist())) == k
+        if k > 1:
+            assert abs(C.silhouette(dist, own) - plain_silhouette(dist.tolist(), own.tolist())) < 1e-12
+    assert C.knee([9.0, 4.0, 1.0, 0.9, 0.8, 0.7]) == 2 and C.knee([1.0, 1.0, 1.0]) is None
+    assert len(set(C.split(lines, "silhouette"))) == 3 and np.array(C.split(lines[:5])).sum() == 0
+
+
+def test_large_clusters_are_refined(spark, monkeypatch):
+    r = random.Random(9)
+    kinds = ["museum berlin", "forest edge", "river bank of the plain"]
+    texts = [kinds[i % 3] + r.choice(["", ".", " x"]) for i in range(300)]
+    rows = [(i, t, "g" if i < 290 else "h", i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "ID long, text string, leader string, pos long")
+    want = {x.ID: x.part for x in C.refine(df).collect()}
+    monkeypatch.setattr(C, "REFINE_TO", 60)
+    got = {x.ID: x.part for x in C.refine(df).collect()}
+    for parts in (want, got):
+        assert set(parts) == set(range(300)) and len({parts[i] for i in range(290)}) > 1
+        kinds_of = {}
+        for i in range(290):
+            kinds_of.setdefault(parts[i], set()).add(i % 3)
+        assert all(len(v) == 1 for v in kinds_of.values())
+
+
 def test_gazetteer(spark):
     g = spark.createDataFrame([(1, "Ethiopia", "ET", "A", 9.0, 40.0, None), (2, "Dire Daoua", "ET", "P", 9.6, 41.9, 1), (3, "Daoua", None, "H", 1.0, 1.0, None), (4, "Dire", "FR", "S", 1.0, 1.0, None)], "geoname_id long, name string, country string, fcl string, lat double, lng double, parent_id long")
     t = spark.createDataFrame([("a", "Abessinien, Dire Daoua 1936"), ("b", "dire and daoua"), ("c", "nothing")], "ID string, text string")

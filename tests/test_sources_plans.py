@@ -74,7 +74,9 @@ def test_commands(spark, files, tmp_path):
     assert table.splitlines()[0].split("\t")[0] == "label.ID" and len(table.splitlines()) == 3 and err == ""
     groups, _ = run(spark, "sort_labels", l, "-d", "-v", "pick")
     head, *lines = [x.split("\t") for x in groups.splitlines()]
-    assert {x[head.index("group_id")] for x in lines} == {"label00001"} and {x[head.index("date_i")] for x in lines} == {"1936-3-5"}
+    assert head == ["label.ID", "label.v", "group.ID", "geo.v", "geo.i", "date.v", "date.i", "collector.v", "collector.i", "consensus.text"]
+    assert {x[head.index("group.ID")] for x in lines} == {"label00001"} and {x[head.index("date.i")] for x in lines} == {"1936-3-5"}
+    assert {x[head.index("consensus.text")] for x in lines} == {"Museum Berlin\\t5.3.1936"}
     parsed, _ = run(spark, "sort_labels", l, "-p", "-d")
     assert len(parsed.splitlines()) == 3
     found, _ = run(spark, "search_labels", l, "musem", "-t", "0.1")
@@ -84,7 +86,7 @@ def test_commands(spark, files, tmp_path):
     assert conf.splitlines()[0] == "group.ID\tce.ID\tconfidence" and conf.splitlines()[1].startswith("g\te1\t") and "labels_per_cluster" in log
     kept, _ = run(spark, "subset_db", l, files("ids.txt", "l2\nl2\n"))
     assert [x["ID"] for x in json.loads(kept)] == ["l2"]
-    assert run(spark, "table_export", e)[0].splitlines()[0] == "ID\tcollector\tdate\tlocation\ttext"
+    assert run(spark, "table_export", e)[0].splitlines()[0] == "ID\tlocation\tdate\tcollector\ttext"  # the keys of the first object
     made, _ = run(spark, "make_labels", files("t.tsv", "id\ttext\n1\tabc 12\n"), "--clean", files("x.txt", "[0-9]+\n"))
     assert json.loads(made) == [{"ID": "1", "text": "abc "}]
     made, _ = run(spark, "make_collecting_events", files("e.tsv", "h\nA\t1936\tW\tone\n"))
@@ -93,6 +95,56 @@ def test_commands(spark, files, tmp_path):
     assert json.loads(made)[0]["name"] == "Walz"
 
 
+def test_commands_read_their_own_output(spark, files, tmp_path):
+    out = lambda name: str(tmp_path / name)
+    many = [{"ID": f"l{i}", "text": f"Museum Berlin collection {'west' if i % 2 else 'east'} 5.3.1936"} for i in range(30)] + [{"ID": "x", "text": "Étage \"q\"\tother\nwords"}]
+    run(spark, "make_labels", files("t.tsv", "id\ttext\n" + "".join(f"{x['ID']}\t{x['text']}\n" for x in many[:30])), "-o", out("made"))
+    assert R.read_labels(spark, out("made")).count() == 30
+    W.write_json(spark.createDataFrame([(x["ID"], x["text"], i) for i, x in enumerate(many)], "ID string, text string, pos int").repartition(3), out("labels"))
+    got = {r.ID: r.text for r in R.read_labels(spark, out("labels")).collect()}
+    assert got == {x["ID"]: x["text"] for x in many}
+    run(spark, "make_collecting_events", files("e.tsv", "h\nBerlin\t1936\tWalz\tmuseum berlin east\nBerlin\t1936\tWalz\tmuseum berlin west\n"), "-o", out("events"))
+    run(spark, "sort_labels", out("labels"), "-d", "-v", "pick", "-o", out("sorted"))
+    run(spark, "match_collecting_events", out("labels"), out("events"), "-o", out("matches"))
+    assert R.read_sorted_labels(spark, out("sorted")).count() == 31 and R.read_matches(spark, out("matches")).count() >= 60
+    run(spark, "checkout_collecting_events", out("sorted"), out("matches"), "-l", out("log"), "-o", out("confidence"))
+    rows = spark.read.csv(out("confidence"), sep="\t", header=True).collect()
+    assert len(rows) == R.read_sorted_labels(spark, out("sorted")).select("group_id").distinct().count() and {r["ce.ID"] for r in rows} <= {"colev00001", "colev00002", "unassigned"}
+    run(spark, "subset_db", out("labels"), files("ids.txt", "l3\nx\n"), "-o", out("subset"))
+    assert {r.ID for r in R.read_labels(spark, out("subset")).collect()} == {"l3", "x"}
+    run(spark, "table_export", out("events"), "-o", out("table"))
+    assert spark.read.csv(out("table"), sep="\t", header=True, quote="").columns == ["location", "date", "collector", "text", "ID"]
+
+
+def test_json_lines_arrays_and_order(spark, files, tmp_path):
+    lines = "".join(json.dumps(x) + "\n" for x in LABELS)
+    assert [(r.ID, r.text) for r in R.read_labels(spark, files("a.jsonl", lines)).orderBy("pos").collect()] == [("l1", "Museum Berlin\t5.3.1936"), ("l2", "Museum Berlin 5.3.1936")]
+    assert R.read_labels(spark, files("indented.json", json.dumps(LABELS, indent=2))).count() == 2
+    assert R.read_labels(spark, files("empty.json", "[\n]\n")).count() == 0
+    with pytest.raises(Exception):
+        R.read_labels(spark, files("bad.json", '{"ID": "a", "text": "b"}\nnonsense\n')).collect()
+    # the last of equal IDs is that of the last argument, however large the files
+    a, b = files("zz.json", json.dumps([{"ID": "x", "text": "first"}] + [{"ID": f"y{i}", "text": "w " * 50} for i in range(500)])), files("aa.json", [{"ID": "x", "text": "second"}])
+    assert {r.ID: r.text for r in R.read_labels(spark, [a, b]).collect()}["x"] == "second" and {r.ID: r.text for r in R.read_labels(spark, [b, a]).collect()}["x"] == "first"
+    m, n = files("m1.tsv", "label.ID\tCE.ID\tscore\nl\te1\t0.5\n" + "k\te0\t0.1\n" * 200), files("m0.tsv", "label.ID\tCE.ID\tscore\nl\te2\t0.5\n")
+    from labelloom.operators import evaluate as E
+
+    assert [{r.label_id: r.event_id for r in E.best_match(R.read_matches(spark, p)).collect()}["l"] for p in ([m, n], [n, m])] == ["e2", "e1"]
+    assert R.first_keys(spark, files("k.json", json.dumps([{"b": {"c": [1, "}"]}, "a": 2}], indent=1))) == ["b", "a"] and R.first_keys(spark, files("none.json", "")) == []
+    out = io.StringIO()
+    cli.run(spark, ["make_labels", "-"], out, io.StringIO(), io.StringIO("id\ttext\n7\tby standard input\n"))
+    assert json.loads(out.getvalue()) == [{"ID": "7", "text": "by standard input"}]
+
+
+def test_date_index_round_trip(spark, tmp_path):
+    from labelloom.operators import match as M
+
+    dates = M.date_index(spark.createDataFrame([("e1", "1936"), ("e2", "5.3.1940"), ("e3", "?")], "ID string, date string"))
+    W.write_dates(dates, str(tmp_path / "dates"))
+    again = R.read_dates(spark, str(tmp_path / "dates"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, dates.collect())) and again.count() == 2
+
+
 def test_parse_info(spark):
     t = spark.createDataFrame([("a", "Dire Daoua, leg. Walz 5.3.1936 at 10°30' N, 20°15' E"), ("b", "Dire Daoua")], "ID string, text string")
     c = spark.createDataFrame([("c", "Walz", "A")], "ID string, name string, firstname string")
