@@ -115,8 +115,12 @@ def search(queries: DataFrame, index: Index, scoring: str = "w", fuzzy: bool = T
     sums = counted.groupBy("query_id", "ID").agg(F.sum(F.col("w") * factor).alias("raw"), F.count("*").alias("n"), F.first("m").alias("m"))
     scored = sums.join(index.max_scores, "ID").withColumn("weight", F.col("raw") / F.col("max_score") * F.col("n") / F.col("m"))
     if scoring != "w":
-        both = scored.join(index.texts, "ID").join(queries, "query_id")
-        likeness = 1 - T.norm_levenshtein(F.coalesce("query", F.lit("")), F.col("text"))
+        # texts are simplified once each, not once a pair
+        both = scored.join(index.texts.select("ID", T.simplify(F.col("text")).alias("_text")), "ID").join(queries.select("query_id", T.simplify(F.coalesce("query", F.lit(""))).alias("_query")), "query_id")
+        if threshold is not None:  # texts are at least as far apart as their lengths
+            a, b = F.length("_query"), F.length("_text")
+            both = both.filter(F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9)
+        likeness = 1 - T.norm_levenshtein(F.col("_query"), F.col("_text"), False)
         scored = both.withColumn("weight", likeness * F.col("weight") if scoring == "w+l" else likeness)
     out = scored.select("query_id", "ID", F.col("weight").alias("score"))
     return out if threshold is None else out.filter(F.col("score") >= threshold)

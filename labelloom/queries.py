@@ -257,9 +257,16 @@ def _search_items(scoring):
     return lambda spark, sf: _rounded(search(_item_queries(spark, sf), make_index(items(spark, sf).select("ID", "text"), Options(1, 3)), scoring), "score")
 
 
+def _search_documents(scoring):
+    """By similarity of whole texts, from 0.2 on."""
+    return lambda spark, sf: _rounded(search(_item_queries(spark, sf), make_index(labels(spark, sf).select("ID", "text"), Options(1, 3)).saved(), scoring, threshold=0.2), "score")
+
+
 for _name, _scoring in (("search_l", "l"), ("search_wl", "w+l")):
     QUERIES[_name] = _search_items(_scoring)
     ORACLE_SQL[_name] = _nudged(_search_sql(_index_sql(1, "benchmark", "item_id"), _ITEM_QUERIES, True, _scoring, "SELECT item_id AS ID, text FROM benchmark") + _ROUND_HITS)
+    QUERIES[f"{_name}_documents"] = _search_documents(_scoring)
+    ORACLE_SQL[f"{_name}_documents"] = _nudged(_search_sql(_index_sql(1, "documents", "doc_id"), _ITEM_QUERIES, True, _scoring, "SELECT doc_id AS ID, text FROM documents") + _ROUND_HITS + " WHERE score >= 0.2")
 
 
 @query(_search_sql(_index_sql(2, "documents", "doc_id"), _ITEM_QUERIES, False) + "SELECT query_id, ID, round(score, 6) AS score FROM hits WHERE score >= 0.1")
@@ -446,14 +453,38 @@ def pick_consensus(spark, sf):
     return C.pick_consensus(_suppliers(spark, sf))
 
 
-@query()
+def _leaders_sql(source: str, key: str, fuzzy: bool, threshold: float) -> str:
+    """Leaders one by one in the order of the key."""
+    return _search_sql(_index_sql(2, source, key), f"SELECT {key} AS query_id, text AS query FROM {source}", fuzzy, where="WHERE query_id <> ID").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+inc AS (SELECT ID, list(query_id) AS src FROM hits WHERE score >= {threshold} AND query_id < ID GROUP BY ID),
+n AS (SELECT {key} AS k, row_number() OVER (ORDER BY {key}) AS rn, coalesce(src, []) AS src FROM {source} LEFT JOIN inc ON ID = {key}),
+r(rn, lead) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT n.rn, CASE WHEN list_has_any(lead, src) THEN lead ELSE list_append(lead, k) END FROM r JOIN n ON n.rn = r.rn + 1),
+l AS (SELECT lead FROM r ORDER BY rn DESC LIMIT 1)
+SELECT k AS "ID", CASE WHEN list_contains(lead, k) THEN k ELSE list_min(list_intersect(src, lead)) END AS leader FROM n, l"""
+
+
+@query(_leaders_sql("documents", "doc_id", False, 0.8))
+def leader_cluster_exact(spark, sf):
+    """Leader clusters of all documents by equal tokens."""
+    return C.cluster_by_text(labels(spark, sf).select("ID", "text", "pos"), fuzzy=False)
+
+
+_PARTS = "WITH parts AS (SELECT p_partkey, p_name || ' ' || p_type || CASE WHEN p_partkey % 7 = 0 THEN 's' ELSE '' END AS text FROM part), "
+
+
+@query(_leaders_sql("parts", "p_partkey", True, 0.5).replace("WITH RECURSIVE ", _PARTS.replace("WITH ", "WITH RECURSIVE "), 1))
 def leader_cluster(spark, sf):
-    return C.cluster_by_text(items(spark, sf), Options(2, 3), 0.3)
+    """Leader clusters of the labels of all parts, some of them misspelt, as the command makes them."""
+    p = _read(spark, sf, "part")
+    text = F.concat("p_name", F.lit(" "), "p_type", F.when(F.col("p_partkey") % 7 == 0, "s").otherwise(""))
+    return C.cluster_by_text(p.select(F.col("p_partkey").alias("ID"), text.alias("text"), F.col("p_partkey").alias("pos")), threshold=0.5)
 
 
 @query()
 def kmedoids_refine(spark, sf):
-    return C.refine(_suppliers(spark, sf).select("ID", "text", F.col("group_id").alias("leader"), "pos"))
+    """Names of parts, by brand."""
+    p = _read(spark, sf, "part")
+    return C.refine(p.select(F.col("p_partkey").alias("ID"), F.col("p_name").alias("text"), F.col("p_brand").alias("leader"), F.col("p_partkey").alias("pos")))
 
 
 @query()
@@ -474,8 +505,7 @@ def name_variants(spark, sf):
 @query("""SELECT o_orderkey AS ID, c_custkey AS collector_id, CAST(5 AS INTEGER) AS start, CAST(5 + length(c_name) AS INTEGER) AS "end", length(c_name)::INTEGER AS score FROM orders JOIN customer ON o_custkey = c_custkey""")
 def find_collectors(spark, sf):
     o, c = _read(spark, sf, "orders"), _read(spark, sf, "customer")
-    # the first word of a name would be the same for all: a dash makes the number part of it
-    who = c.select(F.col("c_custkey").alias("ID"), F.replace("c_name", F.lit("#"), F.lit("_")).alias("name"), F.lit("").alias("firstname"))
+    who = c.select(F.col("c_custkey").alias("ID"), F.col("c_name").alias("name"), F.lit("").alias("firstname"))
     texts = o.join(who, F.col("o_custkey") == who["ID"]).select(F.col("o_orderkey").alias("ID"), F.concat(F.lit("leg. "), "name", F.lit(", "), "o_orderpriority").alias("text"))
     return N.find_names(texts, who)
 
@@ -513,22 +543,24 @@ def parse_info(spark, sf):
     return P.parse_info(dated(spark, sf).select("ID", "text"))
 
 
-@query(_MATCH_SQL + "SELECT query_id AS label_id, ID AS event_id, round(score, 6) AS score FROM hits")
-def stream_match(spark, sf):
-    """The stream's micro-batch function, over the table as one batch."""
-    return _rounded(M.match_events(labels(spark, sf), make_index(items(spark, sf).select("ID", "text"), Options(1, 3)), fuzzy=False), "score")
-
-
-# --- matching as the operator does it: tokens within an edit distance; no SQL ---
-QUERIES |= {
-    "match_all_hits_fuzzy": lambda spark, sf: _rounded(_matches(spark, sf, True), "score"),
-    "match_unmatched_labels_fuzzy": lambda spark, sf: M.unmatched(labels(spark, sf), _matches(spark, sf, True), "label_id"),
-    "match_unmatched_events_fuzzy": lambda spark, sf: M.unmatched(items(spark, sf), _matches(spark, sf, True), "event_id"),
-    "match_date_filtered_fuzzy": lambda spark, sf: _dated_match(spark, sf, False, True),
-    "match_persist_fuzzy": lambda spark, sf: _dated_match(spark, sf, True, True),
-    "best_match_fuzzy": lambda spark, sf: _best(spark, sf, True),
-    "left_join_unassigned_fuzzy": lambda spark, sf: _assigned(spark, sf, True),
-    "group_confidence_fuzzy": lambda spark, sf: _rounded(E.group_confidence(_assigned(spark, sf, True)), "confidence"),
-    "cluster_stats_fuzzy": lambda spark, sf: _rounded(E.cluster_statistics(_assigned(spark, sf, True)), "mean", "sd"),
-    "stream_match_fuzzy": lambda spark, sf: _rounded(_matches(spark, sf, True), "score"),
+# --- exact matching, and matching as the operator does it: tokens within an edit distance ---
+_FUZZY_SQL = _search_sql(_index_sql(1, "benchmark", "item_id"), _DOC_QUERIES, True)
+_FUZZY_DATED_SQL = f"WITH {_LABELS_SQL}, {_EVENTS_SQL}, " + _search_sql(_index_sql(1, "ev", "eid"), "SELECT lid AS query_id, text AS query FROM lab", True).removeprefix("WITH ")
+_FUZZY = {
+    "match_all_hits": lambda spark, sf: _rounded(_matches(spark, sf, True), "score"),
+    "match_unmatched_labels": lambda spark, sf: M.unmatched(labels(spark, sf), _matches(spark, sf, True), "label_id"),
+    "match_unmatched_events": lambda spark, sf: M.unmatched(items(spark, sf), _matches(spark, sf, True), "event_id"),
+    "match_date_filtered": lambda spark, sf: _dated_match(spark, sf, False, True),
+    "match_persist": lambda spark, sf: _dated_match(spark, sf, True, True),
+    "best_match": lambda spark, sf: _best(spark, sf, True),
+    "left_join_unassigned": lambda spark, sf: _assigned(spark, sf, True),
+    "group_confidence": lambda spark, sf: _rounded(E.group_confidence(_assigned(spark, sf, True)), "confidence"),
+    "cluster_stats": lambda spark, sf: _rounded(E.cluster_statistics(_assigned(spark, sf, True)), "mean", "sd"),
 }
+for _name, _f in _FUZZY.items():
+    QUERIES[f"{_name}_fuzzy"] = _f
+    _exact = ORACLE_SQL[_name]
+    ORACLE_SQL[f"{_name}_fuzzy"] = _exact.replace(_nudged(_DATED_SQL), _nudged(_FUZZY_DATED_SQL)).replace(_nudged(_MATCH_SQL), _nudged(_FUZZY_SQL))
+    assert ORACLE_SQL[f"{_name}_fuzzy"] != _exact
+
+from labelloom import queries_more as _more  # noqa: E402, F401  (adds its queries to these)

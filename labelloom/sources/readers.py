@@ -76,21 +76,27 @@ def stream_labels(spark: SparkSession, path) -> DataFrame:
     return spark.readStream.schema(S.LABEL).json(path)
 
 
-def read_ocr(spark: SparkSession, path) -> DataFrame:
-    """file, page (from 0), text of OCR responses."""
+def ocr_pages_of(spark: SparkSession, path) -> DataFrame:
+    """file (path), page (from 0), text of OCR responses; a file is one JSON object."""
     raw = spark.read.schema(S.OCR).json(path, multiLine=True)
-    return raw.select(F.col("_metadata.file_name").alias("file"), F.posexplode("responses").alias("page", "r")).select("file", "page", F.coalesce("r.fullTextAnnotation.text", F.lit("")).alias("text"))
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.posexplode("responses").alias("page", "r")).select("file", "page", F.coalesce("r.fullTextAnnotation.text", F.lit("")).alias("text"))
+
+
+def read_ocr(spark: SparkSession, path) -> DataFrame:
+    """file (name), page (from 0), text of OCR responses."""
+    return ocr_pages_of(spark, path).withColumn("file", F.element_at(F.split("file", "/"), -1))
+
+
+def number_pages(pages: DataFrame, id_format, start: int = 1) -> DataFrame:
+    """ID, text of pages, numbered in the order of files and pages."""
+    return number_rows(pages.withColumn("_k", F.struct("file", "page")), "_k", "_i").select(T.id_formatter(id_format, F.col("_i") + start).alias("ID"), "text")
 
 
 def ocr_labels(spark: SparkSession, path, id_format: str = "label:5", start: int = 1, ids: DataFrame | None = None) -> DataFrame:
     """Labels of OCR output: running numbers over files and pages in order, or IDs by file name (``ids``: file, ID)."""
-    pages = read_ocr(spark, path)
     if ids is not None:
-        return pages.join(ids, "file").select("ID", "text")
-    # file offsets are few; numbers inside a file are its page numbers
-    sizes = pages.groupBy("file").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.file") < F.col("a.file"), "left").groupBy("a.file").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    return pages.join(before, "file").select(T.id_formatter(id_format, F.col("before") + F.col("page") + start).alias("ID"), "text")
+        return read_ocr(spark, path).join(ids, "file").select("ID", "text")
+    return number_pages(ocr_pages_of(spark, path), id_format, start)
 
 
 def read_table(spark: SparkSession, path, columns: dict[str, list[int] | int], sep: str = "\t", skip_first: bool = True, data_sep: str = ", ", id_format: str | None = None, clean: tuple[str, ...] = ()) -> DataFrame:

@@ -81,11 +81,10 @@ def test_fuzzy_match_queries_equal_plain_python(spark, tmp_path):
     spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     orders = [(1, 1, "5-LOW", "1995-03-02"), (2, 2, "1-URGENT", "1996-04-03")]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate string").withColumn("o_orderdate", F.to_date("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
-    got = {n: Q.QUERIES[f"{n}_fuzzy"](spark, str(tmp_path)).collect() for n in ("match_all_hits", "stream_match", "match_unmatched_labels", "match_unmatched_events", "best_match", "left_join_unassigned", "group_confidence", "cluster_stats", "match_date_filtered", "match_persist")}
+    got = {n: Q.QUERIES[f"{n}_fuzzy"](spark, str(tmp_path)).collect() for n in ("match_all_hits", "match_unmatched_labels", "match_unmatched_events", "best_match", "left_join_unassigned", "group_confidence", "cluster_stats", "match_date_filtered", "match_persist")}
     hits = {(d, int(e[1:])): s for d, t in enumerate(texts) for e, s in plain_search(events, t or "").items()}
     assert (0, 0) in hits and (1, 1) in hits
-    for n in ("match_all_hits", "stream_match"):
-        assert {(r.label_id, r.event_id): round(r.score, 4) for r in got[n]} == hits
+    assert {(r.label_id, r.event_id): round(r.score, 4) for r in got["match_all_hits"]} == hits
     assert {r.ID for r in got["match_unmatched_labels"]} == set(range(5)) - {d for d, _ in hits} == {2, 4}
     assert {r.ID for r in got["match_unmatched_events"]} == {2}
     best = {d: max((s, e) for (x, e), s in hits.items() if x == d)[1] for d, _ in hits}
