@@ -99,7 +99,7 @@ def search(queries: DataFrame, index: Index, scoring: str = "w", fuzzy: bool = T
     own = F.col("query_id") != F.col("ID") if exclude_self else F.lit(True)
     if threshold is not None and threshold > 0 and scoring != "l":
         near = written(near, "near")
-        matches = near.join(_candidates(near, postings, threshold).filter(own), "query_id").join(postings, ["token", "ID"])
+        matches = near.join(_candidates(near, postings, threshold, None if fuzzy else index.max_scores).filter(own), "query_id").join(postings, ["token", "ID"])
     else:
         matches = near.join(postings, "token").filter(own)
     if fuzzy:
@@ -126,18 +126,25 @@ def search(queries: DataFrame, index: Index, scoring: str = "w", fuzzy: bool = T
     return out if threshold is None else out.filter(F.col("score") >= threshold)
 
 
-def _candidates(near: DataFrame, postings: DataFrame, threshold: float) -> DataFrame:
+def _candidates(near: DataFrame, postings: DataFrame, threshold: float, max_scores: DataFrame | None = None) -> DataFrame:
     """query_id, ID: documents with a match at one of the rarest places of a query that a score of ``threshold`` must touch.
 
-    ``near``: query_id, qpos, m, token, of each place and token near it.
+    ``near``: query_id, qpos, m, token, of each place and token near it.  Of equal tokens
+    (``max_scores`` given) the rarest shared one is also among the rarest of the document that
+    hold 1 - threshold of its weight, as all rarer ones are not covered.
     """
     df = written(postings.groupBy("token").agg(F.count("*").alias("df")), "frequencies")
-    places = near.join(df, "token").groupBy("query_id", "qpos").agg(F.first("m").alias("m"), F.sum("df").alias("hits"))
+    places = near.join(df, "token").groupBy("query_id", "qpos").agg(F.first("m").alias("m"), F.sum("df").alias("hits"), F.min("token").alias("token"))
     # places without any near token come first in the order of rarity and find nothing
-    order = Window.partitionBy("query_id").orderBy("hits", "qpos")
+    order = Window.partitionBy("query_id").orderBy("hits", "token", "qpos")
     ranked = places.withColumn("r", F.row_number().over(order) + F.col("m") - F.count("*").over(Window.partitionBy("query_id")))
     rare = ranked.filter(F.col("r") <= F.col("m") - F.ceil(F.lit(threshold) * F.col("m") - 1e-9) + 1).select("query_id", "qpos")
-    return near.join(rare, ["query_id", "qpos"]).select("query_id", "token").distinct().join(postings.select("token", "ID"), "token").select("query_id", "ID").distinct()
+    found = postings
+    if max_scores is not None:
+        before = Window.partitionBy("ID").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+        rows = postings.join(df, "token").withColumn("_before", F.coalesce(F.sum(F.col("tf") * F.col("w")).over(before), F.lit(0.0)))
+        found = rows.join(max_scores, "ID").filter(F.col("_before") <= (1 - threshold + 1e-9) * F.col("max_score"))
+    return near.join(rare, ["query_id", "qpos"]).select("query_id", "token").distinct().join(found.select("token", "ID"), "token").select("query_id", "ID").distinct()
 
 
 def self_similarity(df: DataFrame, options: Options, threshold: float = 0.8, scoring: str = "w", strategy: str = "auto", fuzzy: bool = True) -> DataFrame:

@@ -265,8 +265,8 @@ def _search_documents(scoring):
 for _name, _scoring in (("search_l", "l"), ("search_wl", "w+l")):
     QUERIES[_name] = _search_items(_scoring)
     ORACLE_SQL[_name] = _nudged(_search_sql(_index_sql(1, "benchmark", "item_id"), _ITEM_QUERIES, True, _scoring, "SELECT item_id AS ID, text FROM benchmark") + _ROUND_HITS)
-    QUERIES[f"{_name}_documents"] = _search_documents(_scoring)
-    ORACLE_SQL[f"{_name}_documents"] = _nudged(_search_sql(_index_sql(1, "documents", "doc_id"), _ITEM_QUERIES, True, _scoring, "SELECT doc_id AS ID, text FROM documents") + _ROUND_HITS + " WHERE score >= 0.2")
+QUERIES["search_l_documents"] = _search_documents("l")
+ORACLE_SQL["search_l_documents"] = _nudged(_search_sql(_index_sql(1, "documents", "doc_id"), _ITEM_QUERIES, True, "l", "SELECT doc_id AS ID, text FROM documents") + _ROUND_HITS + " WHERE score >= 0.2")
 
 
 @query(_search_sql(_index_sql(2, "documents", "doc_id"), _ITEM_QUERIES, False) + "SELECT query_id, ID, round(score, 6) AS score FROM hits WHERE score >= 0.1")

@@ -120,9 +120,12 @@ def test_threshold_finds_the_same(spark):
     lab = labels(spark, docs)
     for options in (Options(1, 3), Options(2, 3)):
         whole = {(x.query_id, x.ID): round(x.score, 9) for x in self_similarity(lab, options, 0.0).collect()}
-        for t in (0.2, 0.5, 0.8):
+        for t in (0.2, 0.8):
             got = {(x.query_id, x.ID): round(x.score, 9) for x in self_similarity(lab, options, t).collect()}
             assert got == {k: v for k, v in whole.items() if v >= t} and len(got) > 5
+        exact = {(x.query_id, x.ID): round(x.score, 9) for x in self_similarity(lab, options, 0.0, fuzzy=False).collect()}
+        got = {(x.query_id, x.ID): round(x.score, 9) for x in self_similarity(lab, options, 0.4, fuzzy=False).collect()}
+        assert got == {k: v for k, v in exact.items() if v >= 0.4} and got
 
 
 def test_filter_changes_no_weight(spark):
