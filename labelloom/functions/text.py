@@ -37,12 +37,23 @@ def accent_map(limit: int = 0x2500) -> tuple[str, str, tuple[tuple[str, str], ..
 
 
 def strip_accents(s: Column) -> Column:
-    """Compatibility forms without nonspacing marks (one-to-one forms below U+2500 and the common ligatures)."""
+    """Compatibility forms without nonspacing marks (one-to-one forms below U+2500 and the common ligatures).
+
+    ASCII stays as it is, so only runs of other characters are looked up.
+    """
     source, target, _ = accent_map()
-    out = F.regexp_replace(F.translate(s, source, target), r"\p{Mn}+", "")
-    for ligature in "ﬀﬁﬂﬃﬄﬅﬆ":
-        out = F.replace(out, F.lit(ligature), F.lit(unicodedata.normalize("NFKD", ligature)))
-    return out
+
+    def plain(run: Column) -> Column:
+        out = F.regexp_replace(F.translate(run, source, target), r"\p{Mn}+", "")
+        for ligature in "ﬀﬁﬂﬃﬄﬅﬆ":
+            out = F.replace(out, F.lit(ligature), F.lit(unicodedata.normalize("NFKD", ligature)))
+        return out
+
+    def ascii_only(c: Column) -> Column:
+        return F.length(c) == F.octet_length(c)
+
+    runs = F.split(s, r"(?<=[\x00-\x7F])(?=[^\x00-\x7F])|(?<=[^\x00-\x7F])(?=[\x00-\x7F])")
+    return F.when(ascii_only(s), s).otherwise(F.array_join(F.transform(runs, lambda r: F.when(ascii_only(r), r).otherwise(plain(r))), ""))
 
 
 def strip_accents_exact(s: Column) -> Column:

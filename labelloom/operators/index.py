@@ -53,37 +53,40 @@ class Index:
 
     def saved(self) -> Index:
         """The index from tables in the shared folder, so that searches compute nothing of it again."""
-        return Index(written(self.postings, "postings"), written(self.max_scores, "max_scores"), self.texts, self.options)
+        postings = self.postings if self.options.method == 1 else written(self.postings, "postings")  # counts are a table already
+        return Index(postings, written(_max_scores(postings), "max_scores"), self.texts, self.options)
+
+
+def _max_scores(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("ID").agg(F.sum(F.col("tf") * F.col("w")).alias("max_score"))
 
 
 def _tokens(df: DataFrame, options: Options) -> Column:
-    keys = options.keys or tuple(c for c in df.columns if c not in ("ID", "pos"))
-    tokens = [T.index_tokens(T.mask(F.coalesce(F.col(k).cast("string"), F.lit("")), options.masks.get(k)), options.min_len) for k in keys]
+    tokens = [T.index_tokens(T.mask(F.coalesce(F.col(k).cast("string"), F.lit("")), options.masks.get(k)), options.min_len) for k in _keys(df, options)]
     return F.concat(*tokens) if len(tokens) > 1 else tokens[0]
 
 
-def token_counts(df: DataFrame, options: Options) -> DataFrame:
-    """ID, token, tf: one shuffle, of the tokens of each row by ID, so that sums by ID need no other."""
-    rows = df.select("ID", _tokens(df, options).alias("t")).repartition("ID")
-    return rows.select("ID", F.explode("t").alias("token")).groupBy("ID", "token").agg(F.count("*").alias("tf"))
+def _keys(df: DataFrame, options: Options) -> tuple[str, ...]:
+    return options.keys or tuple(c for c in df.columns if c not in ("ID", "pos"))
 
 
-def document_counts(df: DataFrame, options: Options) -> DataFrame:
-    """token, df: number of IDs with the token, reduced before the shuffle (IDs are distinct in a collection)."""
-    return df.select(F.explode(F.array_distinct(_tokens(df, options))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+def token_counts(df: DataFrame, options: Options) -> DataFrame:
+    """ID, token, tf: one shuffle, of the texts by ID; they become tokens after it, in all tasks however few splits the input has."""
+    rows = df.select("ID", *dict.fromkeys(_keys(df, options))).repartition("ID")
+    return rows.select("ID", F.explode(_tokens(rows, options)).alias("token")).groupBy("ID", "token").agg(F.count("*").alias("tf"))
 
 
 def make_index(df: DataFrame, options: Options = Options()) -> Index:  # noqa: B008
-    counts = token_counts(df, options)
+    """Texts become tokens once: the counts are a table in the shared folder, from which all else is computed."""
+    counts = written(token_counts(df, options), "counts")
     if options.method == 1:
         postings = counts.withColumn("w", F.col("tf").cast("double"))
     else:
-        # written, so that its size is known and Spark broadcasts it where it is small, which keeps the partitioning by ID
-        df_counts = written(document_counts(df, options), "document_counts")
+        # written, so that its size is known and Spark broadcasts it where it is small
+        df_counts = written(counts.groupBy("token").agg(F.count("*").alias("df")), "document_counts")
         n = df.select(F.count_distinct("ID").alias("n")).first()["n"]
         raw = counts.join(df_counts, "token").withColumn("raw", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
         norm = raw.groupBy("ID").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
         postings = raw.join(norm, "ID").select("ID", "token", "tf", (F.col("raw") / F.col("norm")).alias("w"))
-    max_scores = postings.groupBy("ID").agg(F.sum(F.col("tf") * F.col("w")).alias("max_score"))
     text = F.col("text").cast("string") if "text" in df.columns else F.lit("")
-    return Index(postings, max_scores, df.select("ID", F.coalesce(text, F.lit("")).alias("text")), options)
+    return Index(postings, _max_scores(postings), df.select("ID", F.coalesce(text, F.lit("")).alias("text")), options)

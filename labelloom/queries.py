@@ -245,12 +245,12 @@ ORACLE_SQL["fuzzy_tokens_blocked"] = _nudged(_PAIRS_SQL)
 
 @query(_search_sql(_index_sql(2, "documents", "doc_id"), _ITEM_QUERIES, False) + _ROUND_HITS)
 def search_exact_w(spark, sf):
-    return _rounded(search(_item_queries(spark, sf), make_index(labels(spark, sf).select("ID", "text"), Options(2, 3)), fuzzy=False), "score")
+    return _rounded(search(_item_queries(spark, sf), make_index(labels(spark, sf).select("ID", "text"), Options(2, 3)).saved(), fuzzy=False), "score")
 
 
 @query(_search_sql(_index_sql(1, "documents", "doc_id"), _ITEM_QUERIES, True) + _ROUND_HITS)
 def search_fuzzy_w(spark, sf):
-    return _rounded(search(_item_queries(spark, sf), make_index(labels(spark, sf).select("ID", "text"), Options(1, 3))), "score")
+    return _rounded(search(_item_queries(spark, sf), make_index(labels(spark, sf).select("ID", "text"), Options(1, 3)).saved()), "score")
 
 
 def _search_items(scoring):
@@ -271,7 +271,7 @@ ORACLE_SQL["search_l_documents"] = _nudged(_search_sql(_index_sql(1, "documents"
 
 @query(_search_sql(_index_sql(2, "documents", "doc_id"), _ITEM_QUERIES, False) + "SELECT query_id, ID, round(score, 6) AS score FROM hits WHERE score >= 0.1")
 def search_threshold(spark, sf):
-    return _rounded(search(_item_queries(spark, sf), make_index(labels(spark, sf).select("ID", "text"), Options(2, 3)), fuzzy=False, threshold=0.1), "score")
+    return _rounded(search(_item_queries(spark, sf), make_index(labels(spark, sf).select("ID", "text"), Options(2, 3)).saved(), fuzzy=False, threshold=0.1), "score")
 
 
 # --- matching -------------------------------------------------------------------------
