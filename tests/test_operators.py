@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,3 +321,31 @@ def one_null(df):
 def test_corpus_and_masks(spark):
     df = spark.createDataFrame([("x1y", None)], "a string, b string")
     assert df.select(T.corpus(df, ["a", "b"], {"a": "[0-9]"}).alias("v")).first().v == "xy\n"
+
+
+def test_few_rows_score_as_joins_do(spark, monkeypatch):
+    """Either side may be the small one, or none; no pairs are gathered where one is."""
+    from labelloom.operators import small
+
+    r = random.Random(9)
+    words = ["".join(r.choice("abc") for _ in range(r.randint(3, 9))) for _ in range(40)]
+    docs = [" ".join(r.choice(words) for _ in range(r.randint(0, 14))) for _ in range(25)]
+    asked = labels(spark, [" ".join(r.choice(words) for _ in range(8)) for _ in range(12)]).select(F.col("ID").alias("query_id"), F.col("text").alias("query"))
+    for options, fuzzy, scoring in ((Options(1, 3), True, "w"), (Options(2, 3), False, "w"), (Options(1, 3), True, "w+l")):
+        index, got = make_index(labels(spark, docs).select("ID", "text"), options), []
+        for rows in (100, 20, 0):  # documents are few, queries are few, neither is
+            monkeypatch.setattr(small, "SMALL_ROWS", rows)
+            got.append({(x.query_id, x.ID): round(x.score, 9) for x in search(asked, index, scoring, fuzzy).collect()})
+        assert got[0] == got[1] == got[2] and len(got[0]) > 50
+    monkeypatch.setattr(small, "SMALL_ROWS", 100)
+    plan = search(asked, make_index(labels(spark, docs).select("ID", "text"), Options(1, 3)), fuzzy=False)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan and "Join" not in plan
+
+
+def test_distances_of_many_texts_at_once():
+    from labelloom.operators.small import Texts
+
+    r = random.Random(10)
+    texts = ["".join(r.choice("abcé") for _ in range(r.randint(0, 90))) for _ in range(30)]
+    for text in (*texts[:10], "", "x" * 200):
+        assert Texts(texts).distances(text, np.arange(30)).tolist() == [C.edit_distance(text, t) for t in texts]
