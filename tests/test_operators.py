@@ -349,3 +349,21 @@ def test_distances_of_many_texts_at_once():
     texts = ["".join(r.choice("abcé") for _ in range(r.randint(0, 90))) for _ in range(30)]
     for text in (*texts[:10], "", "x" * 200):
         assert Texts(texts).distances(text, np.arange(30)).tolist() == [C.edit_distance(text, t) for t in texts]
+
+
+def test_distances_to_many_texts_and_weighted_medians():
+    r = random.Random(11)
+    texts = sorted(("".join(r.choice("abcé") for _ in range(r.randint(0, n))) for n in (5, 20, 63, 90) for _ in range(15)), key=len)
+    for text in (*texts, "x" * 63, "x" * 64):
+        want = [C.edit_distance(text, t) / max(len(text), len(t), 1) for t in texts]
+        assert C.distances_to(text, C.Coded(texts)).tolist() == want
+    values, weights = np.array([0.5, 0.1, 0.9]), np.array([1, 2, 3])
+    assert C.weighted_median(values, weights) == np.median(np.repeat(values, weights)) and C.weighted_median(values, weights * 0) is None
+
+
+def test_medians_of_a_group_are_dealt_over_tasks(spark):
+    m = spark.range(600).select(F.lit("g").alias("group_id"), F.col("id").alias("ID"), F.col("id").alias("pos"), F.concat(F.lit("name "), "id").alias("text"))
+    med = C.median_distances(m)
+    parts = med._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in parts and "levenshtein" not in parts
+    assert med.filter("median is null").count() == 0
