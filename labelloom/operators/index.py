@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.functions import text as T
-from labelloom.storage import written
+from labelloom.storage import ready, written
+
+#: Rows of counts that a task puts out at a time.
+STEP = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -27,21 +34,27 @@ class Options:
 
 @dataclass(frozen=True)
 class Index:
-    """postings (ID, token, tf, w), max_scores (ID, max_score) and texts (ID, text)."""
+    """postings (ID, token, tf, w), max_scores (ID, max_score) and texts (ID, text).
+
+    ``by_id``: the postings are still to be computed and come dealt by ID, so what is gathered by ID needs no shuffle.
+    """
 
     postings: DataFrame
     max_scores: DataFrame
     texts: DataFrame
     options: Options
+    by_id: bool = False
 
     def write(self, path: str) -> None:
         """Parquet, the postings sorted by token so that a lookup skips row groups."""
         self.postings.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
-        self.max_scores.write.mode("overwrite").parquet(f"{path}/max_scores")
+        spark = self.texts.sparkSession
+        tops = _max_scores(spark.read.parquet(f"{path}/postings")) if self.by_id else self.max_scores  # postings are computed once
+        tops.write.mode("overwrite").parquet(f"{path}/max_scores")
         self.texts.write.mode("overwrite").parquet(f"{path}/texts")
         o = self.options
         row = (o.method, o.min_len, list(o.keys) if o.keys else None, dict(o.masks))
-        self.texts.sparkSession.createDataFrame([row], "method int, min_len int, keys array<string>, masks map<string,string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/options")
+        spark.createDataFrame([row], "method int, min_len int, keys array<string>, masks map<string,string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/options")
 
     @staticmethod
     def read(spark, path: str, options: Options | None = None) -> Index:
@@ -70,10 +83,54 @@ def _keys(df: DataFrame, options: Options) -> tuple[str, ...]:
     return options.keys or tuple(c for c in df.columns if c not in ("ID", "pos"))
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[pa.Array]]]:
+    """ID and tokens of each run of rows with the same ID, over the ends of batches too."""
+    own = held = None
+    for batch in batches:
+        ids, tokens, begin = batch.column("ID"), batch.column("t"), 0
+        keys = ids.to_pylist()
+        for i, key in enumerate(keys, 1):
+            if i == len(keys) or keys[i] != key:
+                part = tokens.slice(begin, i - begin).flatten()
+                if held is not None and own == key:
+                    held[1].append(part)
+                else:
+                    if held is not None:
+                        yield held
+                    own, held = key, (ids.slice(begin, 1), [part])
+                begin = i
+    if held is not None:
+        yield held
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ID, token, tf of rows (ID, t) in the order of ID: a task holds the counts of one ID, and not a table of all its tokens."""
+    ids, sizes, found, rows = [], [], [], 0
+
+    def out() -> pa.RecordBatch:
+        at = pa.array(np.repeat(np.arange(len(ids)), sizes))
+        columns = [pa.concat_arrays(ids).take(at)] + [pa.concat_arrays([f.field(k) for f in found]) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, names=["ID", "token", "tf"])
+
+    for own, tokens in _runs(batches):
+        counts = pc.value_counts(pa.chunked_array(tokens))
+        ids.append(own)
+        sizes.append(len(counts))
+        found.append(counts)
+        rows += len(counts)
+        if rows >= STEP:
+            yield out()
+            ids, sizes, found, rows = [], [], [], 0
+    if rows:
+        yield out()
+
+
 def token_counts(df: DataFrame, options: Options) -> DataFrame:
-    """ID, token, tf: one shuffle, of the texts by ID; they become tokens after it, in all tasks however few splits the input has."""
-    rows = df.select("ID", *dict.fromkeys(_keys(df, options))).repartition("ID")
-    return rows.select("ID", F.explode(_tokens(rows, options)).alias("token")).groupBy("ID", "token").agg(F.count("*").alias("tf"))
+    """ID, token, tf: one shuffle, of the texts by ID; they become tokens after it, in all tasks however few splits the input has, and are counted ID by ID."""
+    ready(df.sparkSession)
+    rows = df.select("ID", *dict.fromkeys(_keys(df, options))).repartition("ID").sortWithinPartitions("ID")
+    tokens = rows.select("ID", _tokens(rows, options).alias("t"))
+    return tokens.mapInArrow(counted, f"ID {dict(df.dtypes)['ID']}, token string, tf long")
 
 
 def make_index(df: DataFrame, options: Options = Options()) -> Index:  # noqa: B008
@@ -85,8 +142,10 @@ def make_index(df: DataFrame, options: Options = Options()) -> Index:  # noqa: B
         # written, so that its size is known and Spark broadcasts it where it is small
         df_counts = written(counts.groupBy("token").agg(F.count("*").alias("df")), "document_counts")
         n = df.select(F.count_distinct("ID").alias("n")).first()["n"]
-        raw = counts.join(df_counts, "token").withColumn("raw", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
-        norm = raw.groupBy("ID").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-        postings = raw.join(norm, "ID").select("ID", "token", "tf", (F.col("raw") / F.col("norm")).alias("w"))
+        # frequencies are hashed, not sorted with the counts; weights are computed where the rows lie by ID, so that whole numbers are shuffled
+        rows = counts.join(df_counts.hint("shuffle_hash"), "token").select("ID", "token", "tf", "df").repartition("ID")
+        raw = rows.withColumn("raw", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
+        norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("ID")))
+        postings = raw.select("ID", "token", "tf", (F.col("raw") / norm).alias("w"))
     text = F.col("text").cast("string") if "text" in df.columns else F.lit("")
-    return Index(postings, _max_scores(postings), df.select("ID", F.coalesce(text, F.lit("")).alias("text")), options)
+    return Index(postings, _max_scores(postings), df.select("ID", F.coalesce(text, F.lit("")).alias("text")), options, options.method == 2)

@@ -94,6 +94,7 @@ def search(queries: DataFrame, index: Index, scoring: str = "w", fuzzy: bool = T
     if one is not None:
         one = one.filter(F.col("query_id") != F.col("ID")) if exclude_self else one
         return one if threshold is None else one.filter(F.col("score") >= threshold)
+    index = index.saved() if index.by_id else index
     tokens = query_tokens(queries, index.options.min_len)
     postings = index.postings
     if condition is not None:

@@ -290,15 +290,21 @@ def small_search(queries: DataFrame, index: Index, scoring: str, fuzzy: bool, co
         rows = rows.select("query_id", F.transform("t", lambda t: F.xxhash64(t)).alias("h"), *(["text"] if like else []))
     else:
         small_name, name = "query_id", "ID"
-        tops = index.max_scores if kept is None else index.max_scores.join(kept, "ID", "left_semi")
+        hit = F.struct(F.xxhash64("token").alias("h"), F.col("tf").cast("long").alias("tf"), F.col("w").cast("double").alias("w"))
+        if index.by_id:  # hits and highest scores in one pass over the postings
+            flagged = index.postings.join(F.broadcast(near_tokens.withColumn("_near", F.lit(True))), "token", "left")
+            found = flagged.groupBy("ID").agg(F.sum(F.col("tf") * F.col("w")).alias("max_score"), F.collect_list(F.when(F.col("_near"), hit)).alias("p")).filter(F.size("p") > 0)
+            tops = kept
+        else:
+            found = index.postings.join(F.broadcast(near_tokens), "token", "left_semi").select("ID", hit.alias("p")).groupBy("ID").agg(F.collect_list("p").alias("p"))
+            tops = index.max_scores if kept is None else index.max_scores.join(kept, "ID", "left_semi")
         if like:
             long = index.texts.select("ID", T.simplify(F.col("text")).alias("text"))
             if threshold is not None and threshold > 0:
                 n = F.length("text")
                 long = long.filter((n * threshold <= max(map(len, texts), default=0) + 1e-6) & (n >= threshold * min(map(len, texts), default=0) - 1e-6))
-            tops = tops.join(long, "ID")
-        found = index.postings.join(F.broadcast(near_tokens), "token", "left_semi").select("ID", F.struct(F.xxhash64("token").alias("h"), F.col("tf").cast("long").alias("tf"), F.col("w").cast("double").alias("w")).alias("p"))
-        rows = found.groupBy("ID").agg(F.collect_list("p").alias("p")).join(tops, "ID")
+            tops = long if tops is None else tops.join(long, "ID")
+        rows = found if tops is None else found.join(tops, "ID")
         rows = rows.select("ID", F.col("p.h").alias("h"), F.col("p.tf").alias("tf"), F.col("p.w").alias("w"), "max_score", *(["text"] if like else []))
     small_ids = pa.array(ids, side.schema.field("e").type)
     scorer_of = (near, table, norm, not fuzzy, scoring, texts, threshold)

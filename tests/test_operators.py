@@ -1,6 +1,7 @@
 """Operators against plain Python, golden values and each other."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from labelloom.operators import evaluate as E
 from labelloom.operators import gazetteer as Z
 from labelloom.operators import match as M
 from labelloom.operators import names as N
-from labelloom.operators.index import Options, make_index
+from labelloom.operators.index import Options, make_index, token_counts
 from labelloom.operators.search import search, self_similarity, token_pairs
 
 
@@ -367,3 +368,32 @@ def test_medians_of_a_group_are_dealt_over_tasks(spark):
     parts = med._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in parts and "levenshtein" not in parts
     assert med.filter("median is null").count() == 0
+
+
+def test_tokens_are_counted_id_by_id(spark):
+    """No hash table of all tokens of a task; rows with the same ID count together, over the ends of batches too."""
+    rows = [(i % 40, f"aaa b{i % 7}bb aaa") for i in range(200)] + [(99, None), (98, "")]
+    df = spark.createDataFrame(rows, "ID long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        counts = token_counts(df, Options(1, 3))
+        got = {(r.ID, r.token): r.tf for r in counts.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = Counter((i, t) for i, text in rows for t in (text or "").split())
+    assert got == dict(want)
+    assert "Aggregate" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hits_and_highest_scores_come_from_one_pass(spark):
+    """TF-IDF postings that are not stored are shuffled twice, by token and by ID, and not again for norms, highest scores or hits."""
+    docs = spark.createDataFrame([(i, f"word{i % 5} other{i} same") for i in range(50)], "ID long, text string")
+    index = make_index(docs, Options(2, 3))
+    plan = index.max_scores._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(ID") == 1, plan
+    queries = spark.createDataFrame([(1, "word1 other1 same"), (2, "nothing here")], "query_id long, query string")
+    for options in (dict(), dict(threshold=0.5), dict(condition=F.col("ID") < 9)):
+        one = {(r.query_id, r.ID): round(r.score, 9) for r in search(queries, index, fuzzy=False, **options).collect()}
+        other = {(r.query_id, r.ID): round(r.score, 9) for r in search(queries, index.saved(), fuzzy=False, **options).collect()}
+        assert one == other and one[1, 1] == 1.0
