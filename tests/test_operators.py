@@ -397,3 +397,25 @@ def test_hits_and_highest_scores_come_from_one_pass(spark):
         one = {(r.query_id, r.ID): round(r.score, 9) for r in search(queries, index, fuzzy=False, **options).collect()}
         other = {(r.query_id, r.ID): round(r.score, 9) for r in search(queries, index.saved(), fuzzy=False, **options).collect()}
         assert one == other and one[1, 1] == 1.0
+
+
+def test_exact_pairs_that_share_only_a_rare_word_are_not_candidates(spark, monkeypatch):
+    """Bounds drop them in the join; scores of the rest are those without a threshold."""
+    from labelloom.operators import search as R
+    from labelloom.operators import small
+
+    monkeypatch.setattr(small, "SMALL_ROWS", -1)
+    rng = random.Random(5)
+    texts = [" ".join(["rare" + str(i // 2)] + [f"word{rng.randrange(30)}" for _ in range(9)]) for i in range(30)]
+    texts += [t + " tail" for t in texts[:5]] + [t.replace("word1", "other", 1) for t in texts[5:12]] + ["", "word1 word1 word1 word1", "word1 word1 word1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "ID long, text string")
+    index = make_index(df, Options(2, 3)).saved()
+    q = df.select(F.col("ID").alias("query_id"), F.col("text").alias("query"))
+    near = R.query_tokens(q, 3).withColumns({"token": F.col("q"), "identity": F.lit(1.0)})
+    own = F.col("query_id") != F.col("ID")
+    pairs = {tuple(r) for r in R._exact_candidates(near, index.postings, 0.8, index.max_scores, own).collect()}
+    every = {(r.query_id, r.ID): r.score for r in search(q, index, fuzzy=False, exclude_self=True).collect()}
+    want = {p: s for p, s in every.items() if s >= 0.8}
+    got = {(r.query_id, r.ID): r.score for r in search(q, index, fuzzy=False, exclude_self=True, threshold=0.8).collect()}
+    assert len(want) >= 5 and set(got) == set(want) <= pairs and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    assert (0, 1) not in pairs and len(pairs) < 3 * len(want)
