@@ -84,13 +84,13 @@ class Texts:
         whole, low = (self.all >> off) & cut, (self.low >> off) & cut
         places = {c: (self.places.get(c, 0) >> off) & cut for c in set(text)}
         up, down = whole, 0
+        # bits between texts are cleared only where they could be carried on: what is shifted out of them meets a set bit of ``low``
         for c in text:
             eq = places[c]
             xv = eq | down
             xh = (((eq & up) + up) ^ up) | eq
-            ph = down | (whole & ~(xh | up))
-            ph, mh = ((ph << 1) | low) & whole, ((up & xh) << 1) & whole
-            up, down = mh | (whole & ~(xv | ph)), ph & xv
+            ph = ((down | (whole ^ (xh | up))) << 1) | low
+            up, down = ((whole ^ (xv | ph)) | ((up & xh) << 1)) & whole, ph & xv
         sums = [np.concatenate([[0], np.cumsum(np.unpackbits(np.frombuffer(x.to_bytes(bits // 8 + 1, "little"), np.uint8), bitorder="little"), dtype=np.int64)]) for x in (up, down)]
         a, b = self.at[first:last] - off, self.at[first + 1 : last + 1] - off
         out = np.zeros(len(self.lengths), np.int64)
@@ -221,29 +221,37 @@ def _numbered(values: pa.Array | pa.ChunkedArray, among: list) -> np.ndarray:
     return np.array([at[v] for v in values.to_pylist()], np.int64)
 
 
-def few(df: DataFrame) -> bool:
-    return df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+def small_side(queries: DataFrame, index: Index, condition: Column | None, like: bool) -> tuple[pa.Table, bool] | None:
+    """Tokens of a side with few rows and tokens, and whether it is the documents; of both such, of the documents or, to compare texts, of that with fewer rows."""
+    from .search import query_tokens
+
+    counts = [(df.limit(SMALL_ROWS + 1).count(), of_queries) for of_queries, df in ((True, index.texts), (False, queries))]
+    for n, of_queries in sorted(counts, key=lambda c: c[0] if like else 0):
+        if n > SMALL_ROWS:
+            continue
+        if of_queries:
+            postings = index.postings if condition is None else index.postings.join(index.texts.filter(condition).select("ID"), "ID", "left_semi")
+            side = postings.select(F.col("ID").alias("e"), "token", "tf", "w")
+        else:
+            side = query_tokens(queries, index.options.min_len).select(F.col("query_id").alias("e"), F.col("q").alias("token"), F.col("qpos").alias("pos"), "m")
+        found = side.withColumn("h", F.xxhash64("token")).limit(SMALL_TOKENS + 1).toArrow()
+        if found.num_rows <= SMALL_TOKENS:
+            return found, of_queries
+    return None
 
 
 def small_search(queries: DataFrame, index: Index, scoring: str, fuzzy: bool, condition: Column | None, threshold: float | None, strategy: str, allowance) -> DataFrame | None:
     """query_id, ID, score, or None if neither queries nor documents are few."""
-    from .search import query_tokens, token_pairs
+    from .search import token_pairs
 
-    of_queries = few(index.texts)
-    if not of_queries and not few(queries):
+    like = scoring != "w"
+    found = small_side(queries, index, condition, like)
+    if found is None:
         return None
+    side, of_queries = found
     ready(queries.sparkSession)
     tokens = T.index_tokens(F.coalesce(F.col("query"), F.lit("")), index.options.min_len)
     kept = None if condition is None else index.texts.filter(condition).select("ID")
-    like = scoring != "w"
-    if of_queries:
-        postings = index.postings if kept is None else index.postings.join(kept, "ID", "left_semi")
-        side = postings.select(F.col("ID").alias("e"), "token", "tf", "w")
-    else:
-        side = query_tokens(queries, index.options.min_len).select(F.col("query_id").alias("e"), F.col("q").alias("token"), F.col("qpos").alias("pos"), "m")
-    side = side.withColumn("h", F.xxhash64("token")).limit(SMALL_TOKENS + 1).toArrow()
-    if side.num_rows > SMALL_TOKENS:
-        return None
     # small tokens and small rows by number, tokens in the order of their characters
     words = sorted(set(side["token"].to_pylist()), key=lambda t: t.encode())
     table = {"s": _numbered(side["token"], words)}
@@ -257,17 +265,34 @@ def small_search(queries: DataFrame, index: Index, scoring: str, fuzzy: bool, co
         ids, norm = list(m), np.array(list(m.values()), float)
         table["pos"] = side["pos"].to_numpy().astype(np.int64)
     table["e"] = _numbered(side["e"], ids)
-    rows = queries.select("query_id", "query").repartition("query_id").select("query_id", tokens.alias("t"), *([T.simplify(F.coalesce("query", F.lit(""))).alias("text")] if like else []))
     spark, near_tokens = queries.sparkSession, None
+    texts = None
+    if like:
+        source = index.texts.select(F.col("ID").alias("e"), "text") if of_queries else queries.select(F.col("query_id").alias("e"), F.coalesce("query", F.lit("")).alias("text"))
+        found = source.select("e", T.simplify(F.col("text")).alias("text")).toArrow()
+        by_id = dict(zip(found["e"].to_pylist(), found["text"].to_pylist(), strict=True))
+        texts = [by_id[i] for i in ids]
+    postings, long = index.postings, None
+    if like and not of_queries:
+        long = index.texts if condition is None else index.texts.filter(condition)
+        long = long.select("ID", T.simplify(F.col("text")).alias("text"))
+        if threshold is not None and threshold > 0:
+            # texts too short or too long for it are dropped before any token of theirs is looked at
+            n = F.length("text")
+            long = long.filter((n * threshold <= max(map(len, texts), default=0) + 1e-6) & (n >= threshold * min(map(len, texts), default=0) - 1e-6))
+            long = written(long, "texts")
+            postings = postings.join(long.select("ID"), "ID", "left_semi")
+    # as many tasks as cores can share: rows are small in bytes, and would be put together in a few tasks
+    tasks = max(spark.sparkContext.defaultParallelism * 4, 32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = queries.select("query_id", "query").repartition(tasks, "query_id").select("query_id", tokens.alias("t"), *([T.simplify(F.coalesce("query", F.lit(""))).alias("text")] if like else []))
     if fuzzy:
         small = spark.createDataFrame([(w,) for w in words], "token string")
-        tasks = max(spark.sparkContext.defaultParallelism * 4, 32)  # a vocabulary is small in bytes, but each word has many candidates
         if of_queries:
             rows = written(rows, "query_tokens")  # texts become tokens once
             large = written(rows.select(F.explode("t").alias("q")).distinct(), "vocabulary").repartition(tasks)
             pairs = token_pairs(large, small, strategy, allowance).select(F.col("q").alias("big"), F.col("token").alias("little"), "identity")
         else:
-            large = written(index.postings.select("token").distinct(), "vocabulary").repartition(tasks)
+            large = written(postings.select("token").distinct(), "vocabulary").repartition(tasks)
             pairs = token_pairs(small.withColumnRenamed("token", "q"), large, strategy, allowance).select(F.col("token").alias("big"), F.col("q").alias("little"), "identity")
         pairs = written(pairs, "pairs")
         if pairs.count() > NEAR_PAIRS:
@@ -279,12 +304,6 @@ def small_search(queries: DataFrame, index: Index, scoring: str, fuzzy: bool, co
         of = dict(zip(side["token"].to_pylist(), side["h"].to_pylist(), strict=True))
         near = {"h": np.array([of[w] for w in words], np.int64), "s": np.arange(len(words)), "identity": np.ones(len(words))}
         near_tokens = spark.createDataFrame([(w,) for w in words], "token string")
-    texts = None
-    if like:
-        source = index.texts.select(F.col("ID").alias("e"), "text") if of_queries else queries.select(F.col("query_id").alias("e"), F.coalesce("query", F.lit("")).alias("text"))
-        found = source.select("e", T.simplify(F.col("text")).alias("text")).toArrow()
-        by_id = dict(zip(found["e"].to_pylist(), found["text"].to_pylist(), strict=True))
-        texts = [by_id[i] for i in ids]
     if of_queries:
         small_name, name = "ID", "query_id"
         rows = rows.select("query_id", F.transform("t", lambda t: F.xxhash64(t)).alias("h"), *(["text"] if like else []))
@@ -292,20 +311,18 @@ def small_search(queries: DataFrame, index: Index, scoring: str, fuzzy: bool, co
         small_name, name = "query_id", "ID"
         hit = F.struct(F.xxhash64("token").alias("h"), F.col("tf").cast("long").alias("tf"), F.col("w").cast("double").alias("w"))
         if index.by_id:  # hits and highest scores in one pass over the postings
-            flagged = index.postings.join(F.broadcast(near_tokens.withColumn("_near", F.lit(True))), "token", "left")
+            flagged = postings.join(F.broadcast(near_tokens.withColumn("_near", F.lit(True))), "token", "left")
             found = flagged.groupBy("ID").agg(F.sum(F.col("tf") * F.col("w")).alias("max_score"), F.collect_list(F.when(F.col("_near"), hit)).alias("p")).filter(F.size("p") > 0)
             tops = kept
         else:
-            found = index.postings.join(F.broadcast(near_tokens), "token", "left_semi").select("ID", hit.alias("p")).groupBy("ID").agg(F.collect_list("p").alias("p"))
+            found = postings.join(F.broadcast(near_tokens), "token", "left_semi").select("ID", hit.alias("p")).groupBy("ID").agg(F.collect_list("p").alias("p"))
             tops = index.max_scores if kept is None else index.max_scores.join(kept, "ID", "left_semi")
         if like:
-            long = index.texts.select("ID", T.simplify(F.col("text")).alias("text"))
-            if threshold is not None and threshold > 0:
-                n = F.length("text")
-                long = long.filter((n * threshold <= max(map(len, texts), default=0) + 1e-6) & (n >= threshold * min(map(len, texts), default=0) - 1e-6))
-            tops = long if tops is None else tops.join(long, "ID")
+            tops = long if index.by_id else index.max_scores.join(long, "ID")
         rows = found if tops is None else found.join(tops, "ID")
         rows = rows.select("ID", F.col("p.h").alias("h"), F.col("p.tf").alias("tf"), F.col("p.w").alias("w"), "max_score", *(["text"] if like else []))
+        if like:  # not by the ID alone, by which the rows lie already
+            rows = rows.repartition(tasks, F.xxhash64("ID"))
     small_ids = pa.array(ids, side.schema.field("e").type)
     scorer_of = (near, table, norm, not fuzzy, scoring, texts, threshold)
 
