@@ -16,6 +16,8 @@ from labelloom.storage import ready, written
 
 #: Rows of counts that a task puts out at a time.
 STEP = 1 << 17
+#: Rows of counts that a task sorts or gathers by ID at most, about, where weights are computed.
+TASK_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -133,6 +135,13 @@ def token_counts(df: DataFrame, options: Options) -> DataFrame:
     return tokens.mapInArrow(counted, f"ID {dict(df.dtypes)['ID']}, token string, tf long")
 
 
+def _parts(counts: DataFrame) -> int | None:
+    """Tasks among which counts are dealt, so that the rows of one do not grow with the table; None if Spark's own number is enough."""
+    least = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = -(-counts.count() // TASK_ROWS)
+    return wanted if wanted > least else None
+
+
 def make_index(df: DataFrame, options: Options = Options()) -> Index:  # noqa: B008
     """Texts become tokens once: the counts are a table in the shared folder, from which all else is computed."""
     counts = written(token_counts(df, options), "counts")
@@ -143,7 +152,10 @@ def make_index(df: DataFrame, options: Options = Options()) -> Index:  # noqa: B
         df_counts = written(counts.groupBy("token").agg(F.count("*").alias("df")), "document_counts")
         n = df.select(F.count_distinct("ID").alias("n")).first()["n"]
         # frequencies are hashed, not sorted with the counts; weights are computed where the rows lie by ID, so that whole numbers are shuffled
-        rows = counts.join(df_counts.hint("shuffle_hash"), "token").select("ID", "token", "tf", "df").repartition("ID")
+        parts = _parts(counts)
+        dealt = (lambda rows, key: rows.repartition(parts, key)) if parts else lambda rows, key: rows
+        rows = dealt(counts, "token").join(dealt(df_counts, "token").hint("shuffle_hash"), "token").select("ID", "token", "tf", "df")
+        rows = rows.repartition(parts, "ID") if parts else rows.repartition("ID")
         raw = rows.withColumn("raw", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
         norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("ID")))
         postings = raw.select("ID", "token", "tf", (F.col("raw") / norm).alias("w"))
