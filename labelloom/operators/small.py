@@ -1,7 +1,9 @@
 """Search where queries or documents are few: the few are sent to all tasks, and each row of the other side is scored by itself.
 
 Nothing is shuffled but the rows of the large side, once: neither matches nor pairs of
-query and document are gathered.  Scores are those of ``search``.
+query and document are gathered.  Scores are those of ``search``.  Where too many tokens of the
+large side are near a small one for all tasks to hold them, its rows are dealt into parts and
+each part gets the pairs of its own tokens (``in_parts``).
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from labelloom.storage import ready, written
 if TYPE_CHECKING:
     from .index import Index
 
-#: Rows and tokens of a side that all tasks may hold, and pairs of near tokens.
+#: Rows and tokens of a side that all tasks may hold, and pairs of near tokens above which each part of the rows gets its own.
 SMALL_ROWS, SMALL_TOKENS, NEAR_PAIRS = 20_000, 1_000_000, 4_000_000
 #: Matches that a task holds at a time (of one row it may be more).
 STEP = 2_000_000
@@ -112,12 +114,11 @@ class Scorer:
     number for each small row, its count of tokens or its highest score.
     """
 
-    def __init__(self, near: dict, side: dict, norm: np.ndarray, exact: bool, scoring: str, texts: list[str] | None, threshold: float | None):
-        self.hashes, first, at = np.unique(near["h"], return_index=True, return_inverse=True)
-        self.rank = first  # in the order of the tokens
-        n = int(max(near["s"].max(initial=-1), side["s"].max(initial=-1))) + 1
-        self.near = Ranges(at, len(self.hashes), s=near["s"], i=near["identity"])
-        self.tokens, self.exact, self.scoring, self.norm, self.threshold = n, exact, scoring, norm, threshold
+    def __init__(self, near: dict | None, side: dict, norm: np.ndarray, exact: bool, scoring: str, texts: list[str] | None, threshold: float | None):
+        n = int(side["s"].max(initial=-1)) + 1
+        if near is not None:
+            self.meet(near)
+        self.exact, self.scoring, self.norm, self.threshold = exact, scoring, norm, threshold
         self.texts = None if texts is None else Texts(texts)
         extra = {}
         if "pos" in side:
@@ -128,6 +129,12 @@ class Scorer:
             extra = {"tf": side["tf"], "w": side["w"]}
         self.side = Ranges(side["s"], n, e=side["e"], **extra)
 
+    def meet(self, near: dict) -> None:
+        """From now on these pairs hold."""
+        self.hashes, first, at = np.unique(near["h"], return_index=True, return_inverse=True)
+        self.rank = first  # in the order of the tokens
+        self.near = Ranges(at, len(self.hashes), s=near["s"], i=near["identity"])
+
     def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes are near any small token, and the numbers of these."""
         if not len(self.hashes):
@@ -216,6 +223,46 @@ class Scorer:
         return row, e, like * score if self.scoring == "w+l" else like
 
 
+def in_parts(rows: DataFrame, pairs: DataFrame, words: list[str], tasks: int) -> DataFrame:
+    """``rows`` (part, h: hashes of tokens, ...), after the near pairs of each part's tokens, as rows (part, h, s, i) in the order of the tokens.
+
+    Every pair goes to the parts whose rows hold its token, once each, and no row is joined with its pairs.
+    """
+    numbers = rows.sparkSession.createDataFrame(list(enumerate(words)), "s int, little string")
+    near = pairs.join(F.broadcast(numbers), "little").groupBy(F.xxhash64("big").alias("h")).agg(F.min("big").alias("big"), F.collect_list(F.struct("s", "identity")).alias("p"))
+    held = rows.select("part", F.explode("h").alias("h")).distinct().join(near, "h")
+    pairs = held.select("part", F.array("h").alias("h"), F.col("p.s").alias("s"), F.col("p.identity").alias("i"), F.col("big").alias("_order"))
+    both = pairs.unionByName(rows, allowMissingColumns=True)
+    return both.repartition(tasks, "part").sortWithinPartitions("part", F.col("s").isNull(), "_order").drop("_order")
+
+
+def met(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``in_parts`` without the pairs, which the scorer has met before the rows of their part."""
+    own, found = None, []
+    for batch in batches:
+        part, pairs = batch.column("part").to_numpy(), batch.column("s").is_valid().to_numpy(zero_copy_only=False)
+        begins = np.flatnonzero(ranks(part, pairs) == 0)
+        for a, b in zip(begins, np.append(begins[1:], len(part)), strict=True):
+            piece = batch.slice(a, b - a)
+            if part[a] != own:
+                own, found = part[a], []
+                scorer.meet(_pairs_of(found))
+            if pairs[a]:
+                found.append(piece.select(["h", "s", "i"]))
+            else:
+                if found:
+                    scorer.meet(_pairs_of(found))
+                    found = []
+                yield piece
+
+
+def _pairs_of(found: list[pa.RecordBatch]) -> dict:
+    flat = [[b.column(c).flatten().to_numpy(zero_copy_only=False) for b in found] for c in ("h", "s", "i")]
+    sizes = [np.diff(b.column("s").offsets.to_numpy()) for b in found]
+    h, s, i = (np.concatenate(x) if x else np.zeros(0) for x in flat)
+    return {"h": np.repeat(h.astype(np.int64), np.concatenate(sizes) if sizes else 0), "s": s.astype(np.int64), "identity": i.astype(float)}
+
+
 def _numbered(values: pa.Array | pa.ChunkedArray, among: list) -> np.ndarray:
     at = {v: i for i, v in enumerate(among)}
     return np.array([at[v] for v in values.to_pylist()], np.int64)
@@ -265,7 +312,7 @@ def small_search(queries: DataFrame, index: Index, scoring: str, fuzzy: bool, co
         ids, norm = list(m), np.array(list(m.values()), float)
         table["pos"] = side["pos"].to_numpy().astype(np.int64)
     table["e"] = _numbered(side["e"], ids)
-    spark, near_tokens = queries.sparkSession, None
+    spark, near_tokens, parted = queries.sparkSession, None, False
     texts = None
     if like:
         source = index.texts.select(F.col("ID").alias("e"), "text") if of_queries else queries.select(F.col("query_id").alias("e"), F.coalesce("query", F.lit("")).alias("text"))
@@ -288,34 +335,35 @@ def small_search(queries: DataFrame, index: Index, scoring: str, fuzzy: bool, co
     if fuzzy:
         small = spark.createDataFrame([(w,) for w in words], "token string")
         if of_queries:
-            rows = written(rows, "query_tokens")  # texts become tokens once
+            rows = written(rows.withColumn("part", F.spark_partition_id()), "query_tokens")  # texts become tokens once
             large = written(rows.select(F.explode("t").alias("q")).distinct(), "vocabulary").repartition(tasks)
             pairs = token_pairs(large, small, strategy, allowance).select(F.col("q").alias("big"), F.col("token").alias("little"), "identity")
         else:
             large = written(postings.select("token").distinct(), "vocabulary").repartition(tasks)
             pairs = token_pairs(small.withColumnRenamed("token", "q"), large, strategy, allowance).select(F.col("token").alias("big"), F.col("q").alias("little"), "identity")
         pairs = written(pairs, "pairs")
-        if pairs.count() > NEAR_PAIRS:
-            return None
+        parted, near = pairs.count() > NEAR_PAIRS, None
         near_tokens = pairs.select(F.col("big").alias("token")).distinct()
-        got = pairs.withColumn("h", F.xxhash64("big")).orderBy("big").select("h", "little", "identity").toArrow()
-        near = {"h": got["h"].to_numpy(), "s": _numbered(got["little"], words), "identity": got["identity"].to_numpy().astype(float)}
+        if not parted:
+            got = pairs.withColumn("h", F.xxhash64("big")).orderBy("big").select("h", "little", "identity").toArrow()
+            near = {"h": got["h"].to_numpy(), "s": _numbered(got["little"], words), "identity": got["identity"].to_numpy().astype(float)}
     else:
         of = dict(zip(side["token"].to_pylist(), side["h"].to_pylist(), strict=True))
         near = {"h": np.array([of[w] for w in words], np.int64), "s": np.arange(len(words)), "identity": np.ones(len(words))}
         near_tokens = spark.createDataFrame([(w,) for w in words], "token string")
+    near_tokens = near_tokens if parted else F.broadcast(near_tokens)
     if of_queries:
         small_name, name = "ID", "query_id"
-        rows = rows.select("query_id", F.transform("t", lambda t: F.xxhash64(t)).alias("h"), *(["text"] if like else []))
+        rows = rows.select(*(["part"] if parted else []), "query_id", F.transform("t", lambda t: F.xxhash64(t)).alias("h"), *(["text"] if like else []))
     else:
         small_name, name = "query_id", "ID"
         hit = F.struct(F.xxhash64("token").alias("h"), F.col("tf").cast("long").alias("tf"), F.col("w").cast("double").alias("w"))
         if index.by_id:  # hits and highest scores in one pass over the postings
-            flagged = postings.join(F.broadcast(near_tokens.withColumn("_near", F.lit(True))), "token", "left")
+            flagged = postings.join(near_tokens.withColumn("_near", F.lit(True)), "token", "left")
             found = flagged.groupBy("ID").agg(F.sum(F.col("tf") * F.col("w")).alias("max_score"), F.collect_list(F.when(F.col("_near"), hit)).alias("p")).filter(F.size("p") > 0)
             tops = kept
         else:
-            found = postings.join(F.broadcast(near_tokens), "token", "left_semi").select("ID", hit.alias("p")).groupBy("ID").agg(F.collect_list("p").alias("p"))
+            found = postings.join(near_tokens, "token", "left_semi").select("ID", hit.alias("p")).groupBy("ID").agg(F.collect_list("p").alias("p"))
             tops = index.max_scores if kept is None else index.max_scores.join(kept, "ID", "left_semi")
         if like:
             tops = long if index.by_id else index.max_scores.join(long, "ID")
@@ -323,12 +371,16 @@ def small_search(queries: DataFrame, index: Index, scoring: str, fuzzy: bool, co
         rows = rows.select("ID", F.col("p.h").alias("h"), F.col("p.tf").alias("tf"), F.col("p.w").alias("w"), "max_score", *(["text"] if like else []))
         if like:  # not by the ID alone, by which the rows lie already
             rows = rows.repartition(tasks, F.xxhash64("ID"))
+        if parted:
+            rows = written(rows.withColumn("part", F.pmod(F.xxhash64("ID"), F.lit(tasks)).cast("int")), "rows")
+    if parted:
+        rows = in_parts(rows, pairs, words, tasks)
     small_ids = pa.array(ids, side.schema.field("e").type)
     scorer_of = (near, table, norm, not fuzzy, scoring, texts, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*scorer_of)
-        for batch in batches:
+        for batch in met(scorer, batches) if parted else batches:
             h = batch.column("h")
             counts = np.diff(h.offsets.to_numpy())
             row = np.repeat(np.arange(len(counts)), counts)
