@@ -82,7 +82,7 @@ def ocr_pages(spark, sf):
     page = F.struct(F.struct(F.col("s_name").alias("text")).alias("fullTextAnnotation"))
     value = F.to_json(F.struct(F.array(page, F.lit(None).cast("struct<fullTextAnnotation:struct<text:string>>")).alias("responses")))
     value = F.regexp_replace(value, r",null\]", ",{}]")
-    s.select(F.lpad(F.col("s_suppkey").cast("string"), 9, "0").alias("k"), value.alias("value")).repartition("k").write.partitionBy("k").text(path)
+    W.write_files(s.select(F.coalesce(F.lpad(F.col("s_suppkey").cast("string"), 9, "0"), F.lit("~")).alias("k"), value.alias("value")), "k", path)
     pages = R.ocr_pages_of(spark, path)
     return R.number_pages(pages, "label:5")
 

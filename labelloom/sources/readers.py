@@ -13,6 +13,10 @@ from labelloom import schema as S
 from labelloom.functions import text as T
 from labelloom.operators.index import Index, Options
 from labelloom.storage import numbered as number_rows
+from labelloom.storage import written
+
+#: Bytes for which a small file counts beside its own where files are dealt over tasks.
+OPEN_COST = 1 << 16
 
 
 def _paths(path) -> list[str]:
@@ -87,8 +91,20 @@ def read_ocr(spark: SparkSession, path) -> DataFrame:
     return ocr_pages_of(spark, path).withColumn("file", F.element_at(F.split("file", "/"), -1))
 
 
+def read_together(df: DataFrame) -> DataFrame:
+    """A table of what is read from small files, many of them in a task: Spark would count 4 MB for each."""
+    conf, name = df.sparkSession.conf, "spark.sql.files.openCostInBytes"
+    before = conf.get(name)
+    conf.set(name, OPEN_COST)
+    try:
+        return written(df, "pages")
+    finally:
+        conf.set(name, before)
+
+
 def number_pages(pages: DataFrame, id_format, start: int = 1) -> DataFrame:
-    """ID, text of pages, numbered in the order of files and pages."""
+    """ID, text of pages, numbered in the order of files and pages; the files are read once."""
+    pages = read_together(pages)
     return number_rows(pages.withColumn("_k", F.struct("file", "page")), "_k", "_i").select(T.id_formatter(id_format, F.col("_i") + start).alias("ID"), "text")
 
 

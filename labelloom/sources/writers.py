@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.storage import numbered
+
+#: Files that a task writes into one folder: their names number them with three digits.
+TASK_FILES = 500
+
 
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines, one file a partition; characters stay as they are."""
     df.drop("pos").write.mode("overwrite").json(path)
 
 
+def write_files(df: DataFrame, order: str, path: str) -> None:
+    """Each row's ``value`` as a text file of its own, all in one folder; the names are in the order of ``order``.
+
+    All tasks share the work, and move their files themselves: to make a folder, or to move a file, takes longer than to write it.
+    """
+    rows = numbered(df, order, "_n")
+    tasks = rows.count() // TASK_FILES + 1
+    dealt = rows.repartitionById(tasks, F.floor(F.col("_n") / TASK_FILES).cast("int")).sortWithinPartitions("_n")
+    dealt.select("value").write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+
+
 def json_array(df: DataFrame):
     """Pieces of one JSON array in order, for a file or standard output."""
     rows = df.orderBy("pos").drop("pos") if "pos" in df.columns else df
